@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, toxicity
+from . import langid, media, mixing, quality, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.op1_quality,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_secrets": secrets.op3_secrets,
+        "op4_mixing": mixing.op4_mixing,
+        "op8_tiff": media.op8_tiff,
+        "op10_language": langid.op10_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_mixing": mixing.OP4_SQL,
+    }
