@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, media, mixing, quality, secrets, toxicity
+from . import langid, media, mixing, neardup, quality, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_secrets": secrets.op3_secrets,
         "op4_mixing": mixing.op4_mixing,
+        "op5_near_duplicates": neardup.op5_near_duplicates,
         "op8_tiff": media.op8_tiff,
         "op10_language": langid.op10_language,
     }
@@ -23,4 +24,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_mixing": mixing.OP4_SQL,
+        "op5_near_duplicates": neardup.OP5_SQL,
     }
