@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import quality
+from quillon.llm import decontaminate, linededup, mixing, neardup, quality
 from quillon.llm.common import keep, table
 
+#: Name and function (spark, docs, sf_dir) -> DataFrame. All but the last return the columns of documents.
 STAGES = [
     ("quality", quality.keep_good),
+    ("line_dedup", linededup.drop_lines),
+    ("near_dedup", neardup.keep_one),
+    ("decontamination", decontaminate.drop_contaminated),
+    ("mixing", mixing.mixed),
 ]
 
-#: Models and hash draws decide the stages; tests hold each against a brute-force version.
+#: A trained model decides the first stage, which SQL can't express; the tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 

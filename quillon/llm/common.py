@@ -55,6 +55,14 @@ def forget(path_from: int = 0) -> None:
 atexit.register(forget)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of df has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_crc(col: str = "doc_id") -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, keep, table
+from .common import WORD, fresh, keep, table
 
 #: Fixed values of the contract: the weights that sources get in turn, and the most often a document is taken.
 WEIGHTS, MOST_EPOCHS = (5, 2, 1), 3
@@ -133,12 +133,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str, seed: str = "mix")
     ends = m.rows.where(F.col("copies") > 0).groupBy("rank", "copies").agg(F.max("draw").alias("end"))
     ends = ends.groupBy("rank").agg(*[F.max(F.when(F.col("copies") >= c, F.col("end"))).alias(f"_end{c}") for c in range(1, MOST_EPOCHS + 1)])
     ends = keep(m.sources.join(ends, "rank").select(F.col("source").alias("_source"), *[f"_end{c}" for c in range(1, MOST_EPOCHS + 1)]), "mix-ends")
-    found = docs.join(small(ends, m.n_sources), docs["source"].eqNullSafe(F.col("_source"))).withColumn("_draw", draw(seed))
-    copies = sum((F.coalesce(F.col("_draw") <= F.col(f"_end{c}"), F.lit(False)).cast("int") for c in range(2, MOST_EPOCHS + 1)), F.coalesce(F.col("_draw") <= F.col("_end1"), F.lit(False)).cast("int"))
-    name = "copies"
-    while name in docs.columns:
-        name += "_"
-    return found.withColumn(name, copies).where(F.col(name) > 0).select(*[docs[c] for c in docs.columns], name)
+    at = fresh(docs, "mix_end")
+    joined = docs.join(small(ends.select(F.struct("*").alias(at)), m.n_sources), docs["source"].eqNullSafe(F.col(f"{at}._source")))
+    dealt = lambda c: F.coalesce(draw(seed) <= F.col(f"{at}._end{c}"), F.lit(False)).cast("int")
+    copies = sum((dealt(c) for c in range(2, MOST_EPOCHS + 1)), dealt(1))
+    name = fresh(docs, "copies")
+    return joined.withColumn(name, copies).where(F.col(name) > 0).select(*docs.columns, name)
 
 
 OP4_SQL = r"""

@@ -6,12 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import Bounded, keep, table
+from .common import Bounded, fresh, keep, table
 from .links import bounded, counted, linked
 
 #: Words of a shingle, least similarity in hundredths, band halves of each collection, hashes of a half.
@@ -97,9 +96,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keep(rows.select("doc_key", "kept"), "near-verdicts")
     gone, n = counted(rows.where(~F.col("kept")).select("doc_key").distinct(), "near-gone")
     repeats = rows.where("kept").groupBy("doc_key").count().where("count > 1").limit(1).count()
-    name = "near_key_"
-    while name in docs.columns:
-        name += "_"
+    name = fresh(docs, "near_key")
     left = docs.withColumn(name, doc_key()).join(bounded(gone.withColumnRenamed("doc_key", name), n), name, "left_anti")
     return (left.dropDuplicates([name]) if repeats else left).select(*docs.columns)
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bounded, held_out, labelled_texts, table
+from .common import Bounded, fresh, held_out, labelled_texts, table
 
 #: Labelled documents that a fit reads at most.
 FIT_ROWS = 2500
@@ -131,7 +131,5 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage of the pipeline: docs whose score reaches THRESHOLD, all columns. The model learns from the rows of docs that have labels."""
-    name = "quality_score_"
-    while name in docs.columns:
-        name += "_"
+    name = fresh(docs, "quality_score")
     return with_score(docs, train(docs, table(spark, sf_dir, "labels")), name).where(F.col(name) >= THRESHOLD).drop(name)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, media, mixing, neardup, quality, secrets, toxicity
+from . import decontaminate, extract, langid, linededup, media, mixing, neardup, quality, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,7 +16,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secrets": secrets.op3_secrets,
         "op4_mixing": mixing.op4_mixing,
         "op5_near_duplicates": neardup.op5_near_duplicates,
+        "op6_line_dedup": linededup.op6_line_dedup,
+        "op7_html": extract.op7_html,
         "op8_tiff": media.op8_tiff,
+        "op9_decontamination": decontaminate.op9_decontamination,
         "op10_language": langid.op10_language,
     }
 
