@@ -1 +1,3 @@
 """Registered queries, composed of the operators."""
+
+from . import answers, graphs, retrieval, runs, streams, texts  # noqa: F401  they register their queries
