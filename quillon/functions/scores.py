@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import answer_tokens
+from .text import answer_tokens, once
 
 
 def f1(precision: Column, recall: Column) -> Column:
@@ -31,10 +31,13 @@ def shared_count(a: Column, b: Column) -> Column:
 
 def token_f1(predicted: Column, gold: Column) -> Column:
     """F1 of answer tokens as multisets: both empty 1, one empty 0."""
-    p, g = answer_tokens(predicted), answer_tokens(gold)
-    both = shared_count(p, g)
-    value = F.when(both == 0, F.lit(0.0)).otherwise(f1(both / F.size(p), both / F.size(g)))
-    return F.when((F.size(p) == 0) & (F.size(g) == 0), F.lit(1.0)).when((F.size(p) == 0) | (F.size(g) == 0), F.lit(0.0)).otherwise(value)
+
+    def of(x: Column) -> Column:
+        p, g, both = x["p"], x["g"], shared_count(x["p"], x["g"])
+        value = F.when(both == 0, F.lit(0.0)).otherwise(2.0 * both / (F.size(p) + F.size(g)))  # the harmonic mean of both / |p| and both / |g|
+        return F.when((F.size(p) == 0) & (F.size(g) == 0), F.lit(1.0)).when((F.size(p) == 0) | (F.size(g) == 0), F.lit(0.0)).otherwise(value)
+
+    return once(F.struct(answer_tokens(predicted).alias("p"), answer_tokens(gold).alias("g")), of)
 
 
 def best_token_f1(predicted: Column, variants: Column) -> Column:

@@ -39,12 +39,20 @@ def alnum(column: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(_text(column)), "[^a-z0-9]+", " "))
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with the value computed once, however often `use` has it: inside a lambda an outer expression would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def kgrams(column: Column, k: int, least: int = 12) -> Column:
     """The runs of k words of the alnum form; of a text under `least` words, the whole of it as one; of an empty one, none."""
-    found = F.filter(F.split(alnum(column), " "), lambda w: w != "")
     joined = lambda part: F.array_join(part, " ")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(found) - (k - 1))), lambda i: joined(F.slice(found, i, k)))
-    return F.when(F.size(found) == 0, F.array().cast("array<string>")).when(F.size(found) < least, F.array(joined(found))).otherwise(runs)
+
+    def of(found: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(found) - (k - 1))), lambda i: joined(F.slice(found, i, k)))
+        return F.when(F.size(found) == 0, F.array().cast("array<string>")).when(F.size(found) < least, F.array(joined(found))).otherwise(runs)
+
+    return once(F.filter(F.split(alnum(column), " "), lambda w: w != ""), of)
 
 
 def query_terms(column: Column, most: int | None = 10) -> Column:
