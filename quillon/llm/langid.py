@@ -54,76 +54,98 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+class Pieces:
+    """Looks up all substrings of many words at once: by 64-bit hashes, in tables of 2**20 places where a piece that finds its place taken goes to the next table."""
+
+    FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, ids: dict[str, int]):
+        self.count, self.widest = len(ids), max(map(len, ids), default=1)
+        self.hash = np.zeros(len(ids) + 1, np.uint64)
+        for v, i in ids.items():
+            self.hash[i] = self._hash(v)
+        self.tables = []
+        left = np.arange(len(ids))
+        while len(left):
+            at = self._place(self.hash[left])
+            _, first = np.unique(at, return_index=True)
+            table_ = np.full(1 << 20, len(ids), np.int32)  # the place past all pieces, of hash 0
+            table_[at[first]] = left[first]
+            self.tables.append(table_)
+            left = np.delete(left, first)
+
+    def _hash(self, piece: str) -> np.uint64:
+        h = 0
+        for c in piece:
+            h = (h * int(self.FACTOR) + ord(c) + 1) & ((1 << 64) - 1)
+        return np.uint64(h)
+
+    @staticmethod
+    def _place(h: np.ndarray) -> np.ndarray:
+        return ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(44)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The pieces of hashes, self.count where there is none."""
+        at, out = self._place(h), None
+        for table_ in self.tables:
+            ids = table_[at]
+            ids = np.where(self.hash[ids] == h, ids, self.count)
+            out = ids if out is None else np.minimum(out, ids)
+        return out if out is not None else np.full(h.shape, self.count, np.int32)
+
+
 @dataclass
 class Lattice:
-    """The places in a batch of words where a piece fits: word, begin, end, piece (len(ids): a letter that isn't a piece)."""
+    """Where pieces fit in a batch of words: for each begin and end, by end, the words and the pieces (the last one for a letter that isn't a piece)."""
 
     size: np.ndarray  # letters of each word, START included
-    word: np.ndarray
-    begin: np.ndarray
-    end: np.ndarray
-    piece: np.ndarray
-
-
-def prefixes(ids: dict[str, int]) -> dict[str, int]:
-    """ids, and -1 for each proper beginning of a piece that isn't one."""
-    found = {v[:n]: -1 for v in ids for n in range(1, len(v))}
-    return found | ids
-
-
-def lattice(batch: list[str], known: dict[str, int], unknown: int) -> Lattice:
-    hits, get = [], known.get
-    for k, w in enumerate(batch):
-        w = START + w
-        size = len(w)
-        for i in range(size):
-            j = i + 1
-            piece = get(w[i:j])
-            hits.append((k, i, j, unknown if piece is None or piece < 0 else piece))
-            while piece is not None and j < size:
-                j += 1
-                piece = get(w[i:j])
-                if piece is not None and piece >= 0:
-                    hits.append((k, i, j, piece))
-    table_ = np.array(hits, np.int64).reshape(-1, 4)
-    return Lattice(np.array([len(w) + 1 for w in batch]), *table_.T)
-
-
-def _runs(order: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
-    """order, cut where key changes along it."""
-    return np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(order) else []
+    steps: list[tuple[int, int, np.ndarray, np.ndarray]]
+
+
+def lattice(batch: list[str], known: Pieces) -> Lattice:
+    size = np.array([len(w) + 1 for w in batch])
+    longest = int(size.max())
+    letters = np.frombuffer("".join((START + w).ljust(longest, "\0") for w in batch).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(batch), longest).T.astype(np.uint64) + np.uint64(1)
+    steps, h = {}, np.zeros_like(letters)
+    for n in range(1, min(known.widest, longest) + 1):
+        h = h[: longest - n + 1] * known.FACTOR + letters[n - 1 :]
+        ids = known.find(h)
+        for begin in range(longest - n + 1):
+            fits = ids[begin] < known.count
+            if n == 1:
+                fits = size > begin
+            rows = np.flatnonzero(fits)
+            if len(rows):
+                steps[begin + n, begin] = (begin, begin + n, rows, ids[begin, rows])
+    return Lattice(size, [steps[k] for k in sorted(steps)])
 
 
 def forward(x: Lattice, p: np.ndarray) -> np.ndarray:
-    """alpha[w, i, lang]: the sum over all segmentations of the first i letters."""
-    alpha = np.zeros((len(x.size), int(x.size.max()) + 1, p.shape[1]))
-    alpha[:, 0] = 1
-    for run in _runs(np.lexsort((x.word, x.end)), x.end):
-        w = x.word[run]
-        first = np.flatnonzero(np.diff(w, prepend=-1))
-        alpha[w[first], x.end[run[0]]] = np.add.reduceat(alpha[w, x.begin[run]] * p[x.piece[run]], first)
+    """alpha[i, w, lang]: the sum over all segmentations of the first i letters."""
+    alpha = np.zeros((int(x.size.max()) + 1, len(x.size), p.shape[1]))
+    alpha[0] = 1
+    for begin, end, rows, ids in x.steps:
+        alpha[end, rows] += alpha[begin, rows] * p[ids]
     return alpha
 
 
 def backward(x: Lattice, p: np.ndarray) -> np.ndarray:
-    """beta[w, i]: the sum over all segmentations from letter i to the end, in one language."""
-    beta = np.zeros((len(x.size), int(x.size.max()) + 1))
-    beta[np.arange(len(x.size)), x.size] = 1
-    for run in reversed(_runs(np.lexsort((x.word, x.begin)), x.begin)):
-        w = x.word[run]
-        first = np.flatnonzero(np.diff(w, prepend=-1))
-        beta[w[first], x.begin[run[0]]] = np.add.reduceat(beta[w, x.end[run]] * p[x.piece[run], 0], first)
+    """beta[i, w]: the sum over all segmentations from letter i to the end, in one language."""
+    beta = np.zeros((int(x.size.max()) + 1, len(x.size)))
+    beta[x.size, np.arange(len(x.size))] = 1
+    for begin, end, rows, ids in reversed(x.steps):
+        beta[begin, rows] += p[ids, 0] * beta[end, rows]
     return beta
 
 
-def log_likelihoods(batch: list[str], model: Model, known: dict[str, int]) -> np.ndarray:
+def log_likelihoods(batch: list[str], model: Model, known: Pieces) -> np.ndarray:
     """log P(word) in each language, by word. Words over LONGEST letters are taken letter by letter in logs, as their probability would underflow."""
     out = np.zeros((len(batch), len(model.langs)))
-    short = [k for k, w in enumerate(batch) if len(w) <= LONGEST]
-    for at in range(0, len(short), 4096):
-        rows = short[at : at + 4096]
-        x = lattice([batch[k] for k in rows], known, len(model.ids))
-        out[rows] = np.log(forward(x, model.p)[np.arange(len(rows)), x.size])
+    short = sorted((k for k, w in enumerate(batch) if len(w) <= LONGEST), key=lambda k: len(batch[k]))
+    for at in range(0, len(short), 2048):
+        rows = short[at : at + 2048]
+        x = lattice([batch[k] for k in rows], known)
+        out[rows] = np.log(forward(x, model.p)[x.size, np.arange(len(rows))])
     widest = model.widest
     for k, w in enumerate(batch):
         if len(w) > LONGEST:
@@ -148,22 +170,23 @@ def _long_word(word: str, model: Model, widest: int) -> np.ndarray:
 def fit(counts: dict[str, Counter], vocabulary: list[str]) -> Model:
     """counts: words of each language with how often they occur."""
     langs = sorted(counts)
-    known = [v for v in dict.fromkeys(x.lower() for x in vocabulary) if WORD.fullmatch(v.removeprefix(START) or "a")]
-    ids = {v: i for i, v in enumerate(known)}
+    letters = [v for v in dict.fromkeys(x.lower() for x in vocabulary) if WORD.fullmatch(v.removeprefix(START) or "a")]
+    ids = {v: i for i, v in enumerate(letters)}
+    known = Pieces(ids)
     model = Model(langs, ids, np.zeros((len(ids) + 1, len(langs))))
     for k, lang in enumerate(langs):
         found = sorted(((w, n) for w, n in counts[lang].items() if len(w) <= LONGEST), key=lambda x: (-x[1], x[0]))[:FIT_WORDS]
         p = None
-        extended = prefixes(ids)
-        blocks = [(lattice([w for w, _ in found[at : at + 4096]], extended, len(ids)), np.array([n for _, n in found[at : at + 4096]], float)) for at in range(0, len(found), 4096)]
+        blocks = [(lattice([w for w, _ in found[at : at + 2048]], known), np.array([n for _, n in found[at : at + 2048]], float)) for at in range(0, len(found), 2048)]
         for _ in range(ROUNDS + 1):
             used = np.zeros(len(ids) + 1)
             for x, n in blocks:
-                share = n[x.word]
-                if p is not None:  # else each piece counts wherever it occurs
-                    alpha = forward(x, p)[:, :, 0]
-                    share = share * alpha[x.word, x.begin] * p[x.piece, 0] * backward(x, p)[x.word, x.end] / alpha[x.word, x.size[x.word]]
-                used += np.bincount(x.piece, share, len(used))
+                if p is not None:
+                    alpha, beta = forward(x, p)[:, :, 0], backward(x, p)
+                    n = n / alpha[x.size, np.arange(len(n))]
+                for begin, end, rows, pieces_ in x.steps:  # at first each piece counts wherever it occurs
+                    share = n[rows] if p is None else n[rows] * alpha[begin, rows] * p[pieces_, 0] * beta[end, rows]
+                    np.add.at(used, pieces_, share)
             used += SMOOTHING
             used[-1] = 0
             p = (used / used.sum())[:, None]
@@ -192,7 +215,7 @@ class Identifier:
     MOST = 300_000
 
     def __init__(self, model: Model):
-        self.model, self.known = model, prefixes(model.ids)
+        self.model, self.known = model, Pieces(model.ids)
         self.row: dict[str, int] = {}
         self.table = np.zeros((self.MOST, len(model.langs)))
 
@@ -232,8 +255,8 @@ def with_language(docs: DataFrame, model: Model, name: str = "language") -> Data
         identify = Identifier(sent.value)
         for texts in batches:
             out = []
-            for at in range(0, len(texts), 64):
-                out += identify.batch([words(t) for t in texts.iloc[at : at + 64]])
+            for at in range(0, len(texts), 256):
+                out += identify.batch([words(t) for t in texts.iloc[at : at + 256]])
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
     return docs.withColumn(name, apply(F.col("text")))
