@@ -180,12 +180,13 @@ def parent_communities(children: DataFrame, parents: DataFrame) -> DataFrame:
 
 
 def label_communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """node, community: each node takes the label that weighs most among its neighbours (source, target, weight), ties to the least label, in synchronous rounds."""
+    """node, community: each node takes the label that weighs most among its neighbours (source, target, weight), ties to the least label, in synchronous rounds. A node's own label weighs as much as its heaviest edge, so that two nodes don't swap labels forever."""
     both = keep(edges.select(F.col("source").alias("node"), F.col("target").alias("near"), "weight").union(edges.select("target", "source", "weight")).where("node <> near"))
-    labels = keep(both.select("node").distinct().withColumn("community", F.col("node")))
+    self_ = keep(both.groupBy("node").agg(F.max("weight").alias("weight")))
+    labels = self_.select("node", F.col("node").alias("community"))
     for _ in range(rounds):
         votes = both.join(labels.toDF("near", "label"), "near").groupBy("node", "label").agg(F.sum("weight").alias("weight"))
-        own = labels.select("node", F.col("community").alias("label"), F.lit(0.0).alias("weight"))
+        own = labels.join(self_, "node").select("node", F.col("community").alias("label"), "weight")
         votes = votes.union(own).groupBy("node", "label").agg(F.sum("weight").alias("weight"))
         labels = keep(votes.groupBy("node").agg(F.min_by("label", F.struct(-F.round("weight", 9), F.col("label"))).alias("community")))
     return labels

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon import services as V
 from quillon.functions import scores as S
 from quillon.functions import text as T
 from quillon.operators import gates as G
+from quillon.operators import extraction as X
 from quillon.operators import lookups as L
+from quillon.operators import retrieval as R
 
 from .registry import query, table
 
@@ -173,3 +176,44 @@ SELECT query, id, (['id', 'name', 'part'])[how] AS how FROM h WHERE how IS NOT N
 def term_resolve(spark, sf_dir):
     terms = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"))
     return L.resolve_term(spark.createDataFrame([("ASIA",), ("nation#3",), ("7",), ("zzz",)], "query string"), terms)
+
+
+SAID = """SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'I think Yes, it does.' WHEN 1 THEN 'The answer is (B) because' WHEN 2 THEN 'no way' ELSE 'C) it is' END AS said FROM conversations"""
+
+
+@query("answer_extract_yesno", rf"SELECT conv_id, turn, regexp_extract(lower(said), '\b(yes|no|maybe)\b', 1) AS answer FROM ({SAID})")
+def answer_extract_yesno(spark, sf_dir):
+    return said(spark, sf_dir).select("conv_id", "turn", X.yesno_answer(F.col("said")).alias("answer"))
+
+
+@query("answer_extract_mcq", f"SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'B' WHEN 2 THEN '' ELSE 'C' END AS answer FROM ({SAID})")
+def answer_extract_mcq(spark, sf_dir):
+    return said(spark, sf_dir).select("conv_id", "turn", X.letter_answer(F.col("said")).alias("answer"))
+
+
+@query("answer_extract_list", "SELECT p_partkey, p_name || '|' || p_brand || '|last' AS answer FROM part")
+def answer_extract_list(spark, sf_dir):
+    text = F.concat(F.lit("1. "), F.col("p_name"), F.lit(",\n - "), F.col("p_brand"), F.lit("; and last."))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(X.list_answer(text), "|").alias("answer"))
+
+
+def said(spark, sf_dir):
+    k = F.col("conv_id") % 4
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(k == 0, "I think Yes, it does.").when(k == 1, "The answer is (B) because").when(k == 2, "no way").otherwise("C) it is").alias("said"))
+
+
+@query("rouge_l")
+def rouge_l(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    turn = lambda n, name: c.where(F.col("turn") == n).select("conv_id", F.col("text").alias(name))
+    return turn(0, "a").join(turn(1, "b"), "conv_id").select("conv_id", X.rouge_scores(F.col("a"), F.col("b")).alias("r")).select("conv_id", *[F.round(f"r.{x}", 6).alias(x) for x in ("rouge1", "rouge2", "rougeL")])
+
+
+@query("embed_and_rerank")
+def embed_and_rerank(spark, sf_dir):
+    """Benchmark items as questions, documents as articles: hashed embeddings, dense top 10, lexical score."""
+    embed, score = V.HashEmbedder(), V.LexicalScorer()
+    items = table(spark, sf_dir, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    top = R.dense_topk(docs.select("id", embed(F.col("text")).alias("vector")), items.select("query_id", embed(F.col("question")).alias("vector")), 10)
+    return R.hydrate(top, docs, ["text"]).join(items, "query_id").select("query_id", "id", "rank", F.round(score(F.col("question"), F.col("text")), 6).alias("lexical"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def late(events: DataFrame, delay: str | None) -> DataFrame:
-    """A stream with a watermark; a table as it is."""
-    return events.withWatermark("ts", delay) if events.isStreaming and delay else events
+    """A stream with a watermark, which needs times with a zone; a table as it is."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay) if events.isStreaming and delay else events
 
 
 def tumbling(events: DataFrame, length: str, slide: str | None = None, delay: str | None = "1 hour") -> DataFrame:
