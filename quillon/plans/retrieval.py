@@ -340,3 +340,52 @@ l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY
 SELECT query_id, unnest(taken) AS unit_id, CAST(generate_subscripts(taken, 1) AS INT) AS place, used FROM l""")
 def greedy_budget_pack(spark, sf_dir):
     return K.greedy_pack(units(spark, sf_dir).withColumn("paper_id", F.col("id") % 7).withColumnRenamed("id", "unit_id"), 2500)
+
+
+@query("chunk_section_paper", """
+SELECT l.l_orderkey, l.l_linenumber, o.o_orderpriority, c.c_mktsegment FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey WHERE l.l_partkey < 10""")
+def chunk_section_paper(spark, sf_dir):
+    """Chunk, section and paper as a three-way join: line item, order, customer."""
+    lines = table(spark, sf_dir, "lineitem").where("l_partkey < 10").select("l_orderkey", "l_linenumber")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority")
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    return lines.join(orders, "l_orderkey").join(customers, "o_custkey").select("l_orderkey", "l_linenumber", "o_orderpriority", "c_mktsegment")
+
+
+@query("candidate_coverage", f"""
+WITH r AS (SELECT *, {RANKED} AS rank FROM ({SCORED}) QUALIFY {RANKED} <= 30)
+SELECT query_id, count(*) AS n, count(*) FILTER (WHERE id IN (SELECT doc_id FROM documents WHERE n_chars > 1500)) AS n_full, count(*) FILTER (WHERE id IN (SELECT doc_id FROM labels)) AS n_labelled FROM r GROUP BY query_id""")
+def candidate_coverage(spark, sf_dir):
+    run = top(spark, sf_dir, 30).select("query_id", "id")
+    full = table(spark, sf_dir, "documents").where("n_chars > 1500").select(F.col("doc_id").alias("id"), F.lit(1).alias("full")).distinct()
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit(1).alias("labelled")).distinct()
+    return run.join(full, "id", "left").join(labelled, "id", "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count("full").alias("n_full"), F.count("labelled").alias("n_labelled"))
+
+
+@query("negative_pool_union", f"""
+WITH p AS ({POOLS}), f AS (SELECT query_id, id, arg_min(score, pool) AS score FROM p GROUP BY query_id, id)
+SELECT query_id, id, {RANKED} AS rank, score FROM f QUALIFY {RANKED} <= 25""")
+def negative_pool_union(spark, sf_dir):
+    """Positive and negative pools: what the first has not is appended, then all is ranked by score."""
+    kept = R.first_by(pools(spark, sf_dir), ["query_id", "id"], F.col("pool"))
+    return R.ranked(kept, 25)
+
+
+@query("cached_split", "SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_partkey < 200) AS cached FROM orders")
+def cached_split(spark, sf_dir):
+    from quillon.sources.files import split_cached
+
+    asked = table(spark, sf_dir, "orders").select("o_orderkey")
+    cached = table(spark, sf_dir, "lineitem").where("l_partkey < 200").select(F.col("l_orderkey").alias("o_orderkey"))
+    hit, miss = split_cached(asked, cached, ["o_orderkey"])
+    return hit.withColumn("cached", F.lit(True)).unionByName(miss.withColumn("cached", F.lit(False)))
+
+
+@query("evidence_polarity", r"""
+WITH t AS (SELECT doc_id, (['There was no significant difference.', 'It significantly improved survival.', 'Nothing is said.', 'The drug is not effective.'])[1 + doc_id % 4] AS t FROM documents)
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'negative' WHEN 1 THEN 'positive' WHEN 2 THEN 'neutral' ELSE 'negative' END AS polarity FROM t""")
+def evidence_polarity(spark, sf_dir):
+    from quillon.operators import sections as X
+
+    texts = F.array(*[F.lit(x) for x in ("There was no significant difference.", "It significantly improved survival.", "Nothing is said.", "The drug is not effective.")])
+    return table(spark, sf_dir, "documents").select("doc_id", X.polarity(F.element_at(texts, (F.col("doc_id") % 4 + 1).cast("int"))).alias("polarity"))
