@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import re
 import tempfile
 import uuid
 
@@ -106,7 +105,3 @@ class Bounded(dict):
                 self.clear()
             self[key] = value
         return value
-
-
-def spaces_to_one(text: str) -> str:
-    return re.sub(r"\s+", " ", text).strip()

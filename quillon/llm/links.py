@@ -1,22 +1,30 @@
 """Linking similar sets: candidates of tensored bands, exact verification, distributed union-find.
 
-Nodes are distinct sets. Within a bucket (the nodes of one band table's key) no pairs are listed: first every node is held
-against the bucket's least node, and what is similar is united. Only nodes that ended up apart from the least one are then held
-against the bucket's nodes in other components, unless sizes or the triangle inequality of the Jaccard distance rule it out. So
-no pair of a bucket remains that could join two components, and a group of n near copies costs about n comparisons.
+Nodes are distinct sets. Within a bucket (the nodes of one band table's key) no pairs are listed: every node is held against the
+bucket's hub, the node that shares most buckets, and what is similar is united. What is then left apart from its hub is looked at
+more closely. In a bucket of at most FEW nodes it is held against those of other components, where sizes and what is shared with
+the hub leave it possible that the threshold is reached. A larger bucket has a core, the items that more than half of its nodes
+have. A pair can reach the threshold only if both have enough of the core by itself (such pairs are verified if they could join
+two components), or if the two share items beyond the core, and then also one of the rarest of these items of each. So the
+bucket falls apart into smaller ones, one for each such item and of half its size at most, and these are treated alike until no
+bucket holds two components. No pair that meets in a table is lost, and a group of n near copies, or of n sets that share one
+large part and nothing else, costs about n comparisons.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep
 
 #: Rows of two or three numbers up to which a side of a join is broadcast; beyond, it is shuffled.
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 1_000_000
+#: Nodes of a bucket up to which those that are apart from its hub are held against the others.
+FEW = 32
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -29,6 +37,25 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return kept, kept.count()
 
 
+@dataclass(frozen=True)
+class Form:
+    """How the sets of a table node, items are held: what two of them share, as a struct both, n_left, n_right of longs, and their items, as array<long>."""
+
+    compare: Callable[[Column, Column], Column]
+    items: Callable[[Column], Column]
+
+
+def _size(column: Column) -> Column:
+    return F.size(column).cast("long")
+
+
+#: Sets as arrays of distinct 64-bit numbers.
+ARRAYS = Form(
+    lambda l, r: F.struct(_size(F.array_intersect(l, r)).alias("both"), _size(l).alias("n_left"), _size(r).alias("n_right")),
+    lambda items: items,
+)
+
+
 def _shared(nodes: DataFrame, side: str, name: str) -> tuple[DataFrame, int]:
     """node, <side>: the nodes' keys that another node has too, as a list; nodes without any are gone."""
     rows = nodes.select("node", F.explode(side).alias("key"))
@@ -36,31 +63,53 @@ def _shared(nodes: DataFrame, side: str, name: str) -> tuple[DataFrame, int]:
     return counted(rows.join(bounded(keys, n), "key").groupBy("node").agg(F.collect_set("key").alias(side)), f"{name}-{side}")
 
 
-def buckets(nodes: DataFrame, name: str) -> DataFrame:
-    """bucket, least, node: of each table key that two nodes or more have, its nodes, with the least of them. Buckets of the same nodes are one.
+def distinct_buckets(rows: DataFrame, name: str, wanted=None) -> DataFrame:
+    """bucket, node of rows (bucket, node, ...) with two nodes or more; buckets of the same nodes are one. wanted: a further test of a bucket, on aggregates."""
+    test = F.col("n") > 1
+    extra = []
+    if wanted is not None:
+        extra, test = [wanted.alias("_wanted")], test & F.col("_wanted")
+    summed = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), *extra).where(test)
+    chosen, n = counted(summed.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), f"{name}-chosen")
+    return keep(rows.select("bucket", "node").join(bounded(chosen, n), "bucket"), f"{name}-buckets")
+
 
-    nodes: node long, a and b array<long>, the keys of the two collections."""
+def banded(nodes: DataFrame, name: str) -> DataFrame:
+    """bucket, node: of each key of plain bands that two nodes or more have, its nodes. nodes: node long, keys array<long>; a node may be repeated."""
+    rows = nodes.select("node", F.explode("keys").alias("bucket"))
+    mark = F.shiftright("node", 20)  # 44 bits tell two nodes of a bucket apart, and compress better
+    keys, n = counted(rows.groupBy("bucket").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low <> high").select("bucket"), f"{name}-keys")
+    return distinct_buckets(keep(rows.join(bounded(keys, n), "bucket").select("bucket", "node").distinct(), f"{name}-bands"), name)
+
+
+def tensored(nodes: DataFrame, name: str) -> DataFrame:
+    """bucket, node: of each key of tensored bands that two nodes or more have, its nodes.
+
+    nodes: node long, a and b array<long>, the keys of the two collections; a node may be repeated."""
     a, n = _shared(nodes.select("node", "a"), "a", name)
     b, n = _shared(nodes.select("node", "b").join(bounded(a.select("node"), n), "node", "left_semi"), "b", name)
-    tables = keep(
+    tables = (
         a.join(bounded(b.select("node"), n), "node", "left_semi").join(b, "node")
         .select("node", F.explode("a").alias("ka"), "b").select("node", "ka", F.explode("b").alias("kb"))
-        .select("node", F.xxhash64("ka", "kb").alias("bucket")), f"{name}-tables",
+        .select("node", F.xxhash64("ka", "kb").alias("bucket"))
     )
-    summed = tables.groupBy("bucket").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).where("n > 1")
-    chosen, n = counted(summed.groupBy("least", "n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "least"), f"{name}-chosen")
-    return keep(tables.join(bounded(chosen, n), "bucket").select("bucket", "least", "node").distinct(), f"{name}-buckets")
+    return distinct_buckets(keep(tables, f"{name}-tables"), name)
+
 
+def hubs(found: DataFrame, name: str) -> DataFrame:
+    """bucket, hub, weight: the node of a bucket whose buckets are the most and largest, and how large; ties to the least."""
+    sizes = keep(found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), f"{name}-sizes")
+    weights = keep(found.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("weight")), f"{name}-weights")
+    return keep(found.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("best")).select("bucket", (-F.col("best.minus")).alias("hub"), "best.weight"), f"{name}-hubs")
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """left, right, both, either, linked of the pairs; sets: node, items (distinct)."""
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, form: Form = ARRAYS) -> DataFrame:
+    """left, right, both, n_left, n_right, linked of the pairs: the shared items, those of each, and whether these are enough. sets: node, items."""
     left = sets.select(F.col("node").alias("left"), F.col("items").alias("_l"))
     right = sets.select(F.col("node").alias("right"), F.col("items").alias("_r"))
-    both = F.size(F.array_intersect("_l", "_r")).cast("long")
     return (
-        pairs.join(right, "right").join(left, "left")
-        .select("left", "right", both.alias("both"), (F.size("_l") + F.size("_r")).cast("long").alias("either"))
-        .withColumn("either", F.col("either") - F.col("both")).withColumn("linked", 100 * F.col("both") >= percent * F.col("either"))
+        pairs.join(right, "right").join(left, "left").select("left", "right", form.compare(F.col("_l"), F.col("_r")).alias("_c")).select("left", "right", "_c.*")
+        .withColumn("linked", F.col("both") * (100 + percent) >= percent * (F.col("n_left") + F.col("n_right")))
     )
 
 
@@ -81,47 +130,118 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def linked(nodes: DataFrame, sets_of: Callable[[DataFrame, int], DataFrame], percent: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """(components, links): node, component of each node that is linked with another; left, right of the links that were verified.
+def linked(found: DataFrame, sets_of: Callable[[DataFrame, int], DataFrame], percent: int, name: str, form: Form = ARRAYS) -> tuple[DataFrame, DataFrame]:
+    """(components, links): node, component of each node that is linked with another; left, right of verified links, enough of them to join each component.
 
-    nodes: node, a, b. sets_of: from node, and the number of such rows, to node, items of those nodes. Links join sets with
+    found: bucket, node, of banded or tensored. sets_of: from node, and the number of such rows, to node, items of those nodes. Links join sets with
     100 * intersection >= percent * union."""
-    found = buckets(nodes, name)
     wanted, n = counted(found.select("node").distinct(), f"{name}-wanted")
-    sets = keep(sets_of(wanted, n), f"{name}-sets")
-    stars = found.where("node <> least").select(F.col("least").alias("left"), F.col("node").alias("right")).distinct()
-    first = keep(verified(stars, sets, percent), f"{name}-stars")
-    links = first.where("linked").select("left", "right")
-    labels, n_labels = counted(components(links, name), f"{name}-united")
-
-    sizes = sets.select("node", F.size("items").alias("size"))
-    label = lambda column: labels.select(F.col("node").alias(column), F.col("component").alias(f"{column}_component"))
-    known = (
-        found.join(bounded(label("node"), n_labels), "node", "left").join(bounded(label("least"), n_labels), "least", "left")
-        .withColumn("node_component", F.coalesce("node_component", "node")).withColumn("least_component", F.coalesce("least_component", "least"))
-    )
-    apart = known.where("node_component <> least_component")
-    open_, n_open = counted(apart.select("bucket").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 0").select("bucket"), f"{name}-open")
-    if not n_open:
-        return labels, links
-    distance = first.select(F.col("left").alias("least"), F.col("right").alias("node"), (1 - F.col("both") / F.col("either")).alias("d"))
-    members = keep(
-        known.join(bounded(open_, n_open), "bucket", "left_semi").where("node <> least")
-        .join(distance, ["least", "node"]).join(sizes, "node")
-        .select("bucket", "node", "node_component", (F.col("node_component") != F.col("least_component")).alias("apart"), "d", "size"), f"{name}-members",
-    )
-    x, y = members.where("apart").alias("x"), members.alias("y")
-    limit = 1 - percent / 100 + 1e-9
-    near = (
-        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node_component") != F.col("y.node_component"))
-        & (~F.col("y.apart") | (F.col("x.node") < F.col("y.node")))
-        & (F.abs(F.col("x.d") - F.col("y.d")) <= limit) & (F.col("x.d") + F.col("y.d") > 0)
-        & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
+    sets, n_sets = counted(sets_of(wanted, n), f"{name}-sets")
+    if n_sets > n:  # rows that repeat an id and its text
+        sets = keep(sets.dropDuplicates(["node"]), f"{name}-sets")
+    tested, links, labels, depth = None, None, None, 0
+    while True:
+        rows = found.join(hubs(found, name), "bucket").where("node <> hub")
+        if not depth:  # the tables of a hub are one group
+            rows = rows.select(F.col("hub").alias("bucket"), "hub", "node", "weight").distinct()
+        rows = keep(rows.select("bucket", "hub", "node", "weight"), f"{name}-rows")
+        # A node is held against the weightiest of its hubs first; that leaves little of a large group to the others.
+        best = rows.groupBy("node").agg(F.max(F.struct("weight", (-F.col("hub")).alias("minus"))).alias("best")).select((-F.col("best.minus")).alias("left"), F.col("node").alias("right"))
+        tested, links, labels = _test(best, tested, links, labels, sets, percent, name, form)
+        tested, links, labels = _test(_apart(rows, labels).select(F.col("hub").alias("left"), F.col("node").alias("right")).distinct(), tested, links, labels, sets, percent, name, form)
+        groups = _open_groups(rows, labels, name)
+        if groups is None:
+            return labels, links
+        tested, links, labels = _test(groups.select(F.col("hub").alias("left"), F.col("node").alias("right")).distinct(), tested, links, labels, sets, percent, name, form)
+        shared = tested.select(F.col("left").alias("hub"), F.col("right").alias("node"), "both", F.col("n_right").alias("size"))
+        swapped = tested.select(F.col("right").alias("hub"), F.col("left").alias("node"), "both", F.col("n_left").alias("size"))
+        groups = keep(groups.join(shared.union(swapped).distinct(), ["hub", "node"]), f"{name}-groups")
+        direct = _possible(groups.where(F.col("n") <= FEW), percent, beyond=True)
+        large, n_large = counted(groups.where(F.col("n") > FEW), f"{name}-large")
+        if n_large:
+            found, cored = _smaller(large, sets, percent, name, form)
+            direct = direct.union(_possible(cored, percent, beyond=False)).distinct()
+        direct, n = counted(direct, f"{name}-direct")
+        if n:
+            tested, links, labels = _test(direct, tested, links, labels, sets, percent, name, form)
+        depth += 1
+        if not n_large or not found.limit(1).count():
+            return labels, links
+
+
+def _possible(groups: DataFrame, percent: int, beyond: bool) -> DataFrame:
+    """left, right: pairs of groups (bucket, node, component, apart, both, size), one of them apart, that could join two components: what each has of the hub or core,
+    and, if beyond, what it has beyond that, are enough for the threshold."""
+    x, y = groups.where("apart").alias("x"), groups.alias("y")
+    most = F.least("x.both", "y.both")
+    if beyond:
+        most += F.least(F.col("x.size") - F.col("x.both"), F.col("y.size") - F.col("y.both"))
+    possible = (
+        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & (~F.col("y.apart") | (F.col("x.node") < F.col("y.node")))
+        & (most * (100 + percent) >= percent * (F.col("x.size") + F.col("y.size")))
     )
-    pairs = x.join(y, near).select(F.least("x.node", "y.node").alias("left"), F.greatest("x.node", "y.node").alias("right")).distinct()
-    pairs, n_pairs = counted(pairs, f"{name}-pairs")
-    if not n_pairs:
-        return labels, links
-    more = keep(verified(pairs, sets, percent).where("linked").select("left", "right"), f"{name}-more")
-    links = links.union(more)
-    return keep(components(links, f"{name}-all"), f"{name}-united"), links
+    return x.join(y, possible).select(F.least("x.node", "y.node").alias("left"), F.greatest("x.node", "y.node").alias("right")).distinct()
+
+
+def _smaller(groups: DataFrame, sets: DataFrame, percent: int, name: str, form: Form) -> tuple[DataFrame, DataFrame]:
+    """(found, cored). found: bucket, node: for each bucket of groups, one bucket for each item beyond its core, of the nodes that have it among the rarest such items.
+    cored: groups, with `both` for what a node has of the core.
+
+    Sets x, y with an intersection of t = percent / 100 of their union share t / (1 + t) of the sum of their sizes at least. What of that the core can't give,
+    r items, they share beyond it: in one order of items, each has one that they share among its first (items beyond the core) - r + 1."""
+    held = keep(groups.drop("both").join(sets, "node").withColumn("items", form.items(F.col("items"))), f"{name}-held")
+    each = held.select("bucket", "node", "n", F.explode("items").alias("item"))
+    times = each.groupBy("bucket", "item").agg(F.count(F.lit(1)).alias("times"), F.max("n").alias("n")).where("times > 1")
+    times = keep(times.select("bucket", "item", "times", (2 * F.col("times") > F.col("n")).alias("core")), f"{name}-times")
+    cores = times.where("core").groupBy("bucket").agg(F.collect_list("item").alias("core"))
+    # Items that one node alone has are the rarest; only how many they are is needed, so no row is made for them.
+    rest = each.join(times.where("not core"), ["bucket", "item"]).groupBy("bucket", "node").agg(F.array_sort(F.collect_list(F.struct("times", "item"))).alias("rest"))
+    least = groups.groupBy("bucket").agg(F.min("size").alias("smallest"))
+    cored = held.join(cores, "bucket", "left").withColumn("both", F.coalesce(F.size(F.array_intersect("items", "core")), F.lit(0)).cast("long")).drop("items", "core")
+    cored = cored.join(least, "bucket").join(rest, ["bucket", "node"], "left").withColumn("both", F.greatest("both", F.lit(0)))
+    n_rest = F.when(F.col("rest").isNull(), 0).otherwise(F.size("rest"))
+    beyond = F.col("size") - F.col("both")
+    other = F.greatest(F.col("smallest"), F.ceil(F.col("size") * percent / 100))
+    needed = F.ceil(percent * (F.col("size") + other) / (100 + percent)) - F.col("both")
+    count = beyond - F.greatest(F.lit(1), needed) + 1 - (beyond - n_rest)
+    cored = keep(cored.withColumn("rest", F.slice("rest", F.lit(1), F.greatest(F.lit(0), count).cast("int"))), f"{name}-cored")
+    rare = cored.select("bucket", "node", "component", "apart", F.explode("rest").alias("i"))
+    rows = rare.select(F.xxhash64("bucket", "i.item").alias("bucket"), "node", "component", "apart")
+    found = distinct_buckets(rows, name, F.max("apart") & (F.min("component") != F.max("component")))
+    return found, cored.drop("rest", "smallest")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """rows with the components of nodes in some columns, under the names given; a node that is linked with none is its own."""
+    n = labels.count()
+    for column, name in columns.items():
+        rows = rows.join(bounded(labels.select(F.col("node").alias(column), F.col("component").alias(name)), n), column, "left").withColumn(name, F.coalesce(name, column))
+    return rows
+
+
+def _apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return _labelled(rows, labels, {"hub": "_h", "node": "_n"}).where("_h <> _n").select(*rows.columns)
+
+
+def _test(pairs: DataFrame, tested: DataFrame | None, links: DataFrame | None, labels: DataFrame | None, sets: DataFrame, percent: int, name: str, form: Form):
+    """tested, links and labels with the pairs that were not tested yet. Links within a component are not needed and left out."""
+    new = pairs if tested is None else pairs.join(tested.select("left", "right"), ["left", "right"], "left_anti")
+    new = keep(verified(new, sets, percent, form), f"{name}-tested")
+    tested = new if tested is None else tested.union(new)
+    more = new.where("linked").select("left", "right")
+    if labels is not None:
+        more = _labelled(more, labels, {"left": "_l", "right": "_r"}).where("_l <> _r").select("left", "right")
+    more, n = counted(more, f"{name}-links")
+    links = more if links is None else links.union(more)
+    if n or labels is None:
+        labels = components(links, name)
+    return tested, links, labels
+
+
+def _open_groups(rows: DataFrame, labels: DataFrame, name: str) -> DataFrame | None:
+    """rows (bucket, hub, node) with component, apart (from the hub's) and n (the bucket's nodes beside the hub), of buckets where, beside the hub, there are two
+    components or more, one of them apart; None if there is none."""
+    known = _labelled(rows, labels, {"node": "component", "hub": "hub_component"}).withColumn("apart", F.col("component") != F.col("hub_component"))
+    known = keep(known.select("bucket", "hub", "node", "component", "apart"), f"{name}-known")
+    open_, n = counted(known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("apart"), F.min("component").alias("low"), F.max("component").alias("high")).where("apart and low <> high").select("bucket", "n"), f"{name}-open")
+    return keep(known.join(bounded(open_, n), "bucket"), f"{name}-opened") if n else None

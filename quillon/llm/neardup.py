@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import minhash
 from .common import Bounded, fresh, keep, table
-from .links import bounded, counted, linked
+from .links import bounded, counted, linked, tensored
 
 #: Words of a shingle, least similarity in hundredths, band halves of each collection, hashes of a half.
 WORDS, PERCENT, M, HALF = 5, 75, 16, 3
@@ -62,7 +62,7 @@ def shingle_sets(docs: DataFrame, where: DataFrame, n: int) -> DataFrame:
             yield pd.Series([minhash.word_shingles(word_list(t), of_word, WORDS).view(np.int64) for t in texts])
 
     rows = docs.select(doc_key().alias("doc_key"), "text").join(bounded(where, n), "doc_key")
-    return rows.dropDuplicates(["doc_key"]).select("node", items("text").alias("items"))
+    return rows.select("node", items("text").alias("items"))
 
 
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -72,9 +72,8 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     another is to be had. Repeated rows share their component; each of them is `kept` if their id is the component's."""
     rows = keep(signed(docs), "near-signed")
     full = rows.where("node is not null")
-    nodes = full.dropDuplicates(["node"]).select("node", "a", "b")
     where = lambda wanted, n: full.join(bounded(wanted, n), "node", "left_semi").groupBy("node").agg(F.min("doc_key").alias("doc_key"))
-    united, links = linked(nodes, lambda wanted, n: shingle_sets(docs, keep(where(wanted, n), "near-where"), n), PERCENT, "near")
+    united, links = linked(tensored(full, "near"), lambda wanted, n: shingle_sets(docs, keep(where(wanted, n), "near-where"), n), PERCENT, "near")
     least = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     labelled = keep(least.join(united, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-labelled")
     ids = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
