@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from quillon.llm import linededup, links, minhash, neardup
 from quillon.llm.common import Bounded

@@ -1,6 +1,5 @@
 """The other operators: held-out accuracy, brute force, round trips, odd tables."""
 
-import glob
 import hashlib
 import html
 import itertools
@@ -11,7 +10,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, extract, langid, media, quality, queries, secrets, toxicity
 
