@@ -17,8 +17,8 @@ from .links import Form, banded, bounded, counted, linked
 from .neardup import doc_key
 
 #: Characters of a shingle, least similarity in hundredths, bands, hashes of a band. Lines of similarity s meet in a band with probability
-#: 1 - (1 - s ** ROWS) ** BANDS: 0.977 at 0.75, 0.996 at 0.8, 0.9997 at 0.85, and 1e-9 at the 0.01 that unlike lines have.
-CHARS, PERCENT, BANDS, ROWS = 7, 75, 14, 5
+#: 1 - (1 - s ** ROWS) ** BANDS: 0.9995 at 0.75, 0.99997 at 0.8, and 2e-7 at the 0.01 that unlike lines have.
+CHARS, PERCENT, BANDS, ROWS = 7, 75, 20, 4
 #: Characters that numpy works on at a time, about: what the processor's cache holds.
 CHUNK = 100_000
 LINES = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.int64()), ("line", pa.int32()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
