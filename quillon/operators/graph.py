@@ -120,6 +120,22 @@ def paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, hops: int, direc
     return found
 
 
+def flow_paths(edges: DataFrame, starts: DataFrame, hops: int, alpha: float = 0.8, least: float = 0.3) -> DataFrame:
+    """start, end, nodes, length: all simple paths from starts (node) to any node, of up to `hops` edges, but those that path_weights drops for their flow: a path
+    is followed only while its flow is above `least`."""
+    steps = directed(edges)
+    steps = keep(steps.join(steps.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "node"))
+    front = starts.select(F.col("node").alias("start"), F.array("node").alias("nodes"), F.col("node").alias("at"), F.lit(1.0).alias("flow")).distinct()
+    found = None
+    for length in range(1, hops + 1):
+        longer = front.join(steps, F.col("at") == F.col("node")).where(~F.array_contains("nodes", F.col("near")))
+        longer = keep(longer.select("start", F.concat("nodes", F.array("near")).alias("nodes"), F.col("near").alias("at"), (F.col("flow") * F.lit(alpha) / F.col("degree")).alias("flow")))
+        done = longer.select("start", F.col("at").alias("end"), "nodes", F.lit(length).alias("length"))
+        found = done if found is None else found.union(done)
+        front = longer.where(F.col("flow") > least * (1 - 1e-9))
+    return found
+
+
 def path_weights(found: DataFrame, edges: DataFrame, alpha: float = 0.8, least: float = 0.3) -> DataFrame:
     """Paths with a score: each step shares what flows into its node evenly among the node's successors, times alpha; the mean over the steps. A path whose flow
     falls to `least` or below before its last step is gone."""

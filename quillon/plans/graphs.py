@@ -14,8 +14,9 @@ from .registry import query, table
 EDGES = "SELECT DISTINCT 's' || CAST(l_suppkey AS VARCHAR) AS source, 'p' || CAST(l_partkey AS VARCHAR) AS target FROM lineitem WHERE l_orderkey % 100 = 0"
 
 
-def edges(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 100 = 0")
+def edges(spark, sf_dir, where="l_orderkey % 100 = 0"):
+    """Of the line items that EDGES has, or of others."""
+    lines = table(spark, sf_dir, "lineitem").where(where)
     return lines.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target")).distinct()
 
 
@@ -114,8 +115,9 @@ def siblings(spark, sf_dir):
 SPARSE = "SELECT DISTINCT 'o' || CAST(l_orderkey AS VARCHAR) AS source, 'p' || CAST(l_partkey AS VARCHAR) AS target FROM lineitem WHERE l_orderkey % 50 = 0"
 
 
-def sparse(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
+def sparse(spark, sf_dir, where="l_orderkey % 50 = 0"):
+    """Of the line items that SPARSE has, or of others."""
+    lines = table(spark, sf_dir, "lineitem").where(where)
     return lines.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target")).distinct()
 
 
@@ -146,15 +148,14 @@ def parent_communities(spark, sf_dir):
 
 @query("label_communities")
 def label_communities(spark, sf_dir):
-    e = edges(spark, sf_dir).withColumn("weight", F.lit(1.0))
+    e = edges(spark, sf_dir, "true").withColumn("weight", F.lit(1.0))
     return G.assemble_communities(G.label_communities(e), e).select("community", F.size("members").alias("size"), "n_relations")
 
 
 @query("weighted_paths")
 def weighted_paths(spark, sf_dir):
-    e = sparse(spark, sf_dir)
-    ends = e.select(F.col("target").alias("node")).distinct()
-    found = G.paths(e, e.select(F.col("source").alias("node")).orderBy("node").limit(20), ends, 1)
+    e = sparse(spark, sf_dir, "true")
+    found = G.flow_paths(e, e.select(F.col("source").alias("node")), 3)
     return G.best_paths(G.path_weights(found, e)).select("start", "end", F.array_join("nodes", ">").alias("path"), "score", "place")
 
 
