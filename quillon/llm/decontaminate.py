@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -78,18 +78,37 @@ class Index:
         return out
 
 
-def build(items: list[tuple[int, str]]) -> Index:
-    """The index of (item_id, text). Items without a word are left out."""
+@dataclass
+class Statistics:
+    """Of all items that have a word: how many they are, the items of each word, the mean and the greatest number of words."""
+
+    count: int
+    df: Counter
+    mean: float
+    longest: int
+
+
+def statistics(items: Iterable[tuple[int, str]]) -> Statistics:
+    count, total, longest, df = 0, 0, 0, Counter()
+    for _, text in items:
+        if ws := words(text):
+            count, total, longest = count + 1, total + len(ws), max(longest, len(ws))
+            df.update(set(ws))
+    return Statistics(count, df, total / max(1, count), longest)
+
+
+def build(items: list[tuple[int, str]], of_all: Statistics | None = None) -> Index:
+    """The index of (item_id, text), which may be a part of the items that of_all is about. Items without a word are left out."""
     index = Index()
     found = [(i, text, Counter(ws)) for i, text in sorted(items) if (ws := words(text))]
-    df = Counter(w for *_, c in found for w in c)
-    mean = sum(sum(c.values()) for *_, c in found) / max(1, len(found))
-    index.term = {w: k for k, w in enumerate(sorted(df))}
-    index.stride = max([STRIDE, *(sum(c.values()) for *_, c in found)])
+    of_all = of_all or statistics(items)
+    df, mean = of_all.df, of_all.mean
+    index.term = {w: k for k, w in enumerate(sorted({w for *_, c in found for w in c}))}
+    index.stride = max(STRIDE, of_all.longest)
     pivots = defaultdict(list)
     for n, (i, text, c) in enumerate(found):
         norm = K1 * (1 - B + B * sum(c.values()) / mean)
-        raw = {index.term[w]: math.log(1 + (len(found) - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + norm) for w, f in c.items()}
+        raw = {index.term[w]: math.log(1 + (of_all.count - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + norm) for w, f in c.items()}
         total = sum(raw.values())
         shares = {t: w / total for t, w in raw.items()}
         index.items.append(i)
@@ -154,11 +173,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The columns of docs but text, and an array `found` of FOUND: the items above the threshold, by id, with their verification.
 
     Null texts have no passages; null items and items without a word match nothing. The benchmark, which is the stated query set, is read to the driver
-    PASS_ITEMS items at a time; each such part is one pass over docs, and a row of docs is returned once for each part."""
+    and indexed PASS_ITEMS items at a time, with the statistics of all; each such part is one pass over docs, and a row of docs is returned once for each part."""
     items = sorted({(r[0], r[1]) for r in benchmark.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator()})
-    out = None
+    of_all, out = statistics(items), None
     for at in range(0, max(1, len(items)), PASS_ITEMS):
-        found = _search(docs.sparkSession.sparkContext.broadcast(build(items[at : at + PASS_ITEMS])))
+        found = _search(docs.sparkSession.sparkContext.broadcast(build(items[at : at + PASS_ITEMS], of_all)))
         part = docs.select(*[c for c in docs.columns if c != "text"], found(F.col("text")).alias("found"))
         out = part if out is None else out.unionAll(part)
     return out
