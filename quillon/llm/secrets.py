@@ -30,8 +30,9 @@ BASE = {
 #: As above with the fewest characters in the pattern. A run of a class either has them or no part of it has, so the matches are the same.
 FAST = BASE | {"access": (re.compile(r"AKIA[A-Z0-9]{16,}"), 0, 20), "hex": (re.compile(r"[0-9a-f]{24,}"), 0, 24)}
 LEARNED = "learned"
-#: Tokens that are scored: whole runs of these characters, so long at least.
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+#: Tokens that are scored: whole runs of these characters, as long at least as the shortest credential that a format learned from.
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+")
+LEAST = min(least for *_, least in BASE.values())
 SYMBOLS = 66
 
 #: Documents whose credentials and tokens are looked at for the fit, about, and strings that an automaton learns from at most.
@@ -153,17 +154,25 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return [(a, b, kind, what) for a, _, b, kind, what in sorted(found)]
 
 
-def tokens(text: str, base: list[tuple[int, int, str, str]]) -> Iterator[tuple[int, int, str]]:
-    """The tokens to score: those that no base span touches."""
+def tokens(text: str, base: list[tuple[int, int, str, str]], least: int = LEAST) -> Iterator[tuple[int, int, str]]:
+    """The tokens to score: those of `least` characters and more that no base span covers whole."""
     for m in TOKEN.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b, *_ in base):
+        if m.end() - m.start() >= least and not any(a <= m.start() and m.end() <= b for a, b, *_ in base):
             yield m.start(), m.end(), m[0]
 
 
+def ordinary(text: str, base: list[tuple[int, int, str, str]]) -> Iterator[str]:
+    """The tokens that no base span touches, to learn from."""
+    for a, b, what in tokens(text, base):
+        if not any(x < b and a < y for x, y, *_ in base):
+            yield what
+
+
 @dataclass
 class Model:
     formats: dict[str, Automaton]
     plain: Automaton | None
+    least: int = LEAST  # characters of the shortest string that a format learned from
 
     def is_secret(self, token: str) -> bool:
         """Whether some format is as likely as for its own samples, and MARGIN nats likelier than for ordinary tokens."""
@@ -183,7 +192,7 @@ def fit(docs: DataFrame) -> Model:
     def strings(texts: pd.Series) -> pd.Series:
         def of(text):
             base = base_spans(text or "")
-            found = {(kind, what) for *_, kind, what in base} | {("", what) for *_, what in tokens(text or "", base)}
+            found = {(kind, what) for *_, kind, what in base} | {("", what) for what in ordinary(text or "", base)}
             return [{"kind": k, "what": w} for k, w in sorted(found) if len(w) <= 256]
 
         return pd.Series([of(t) for t in texts])
@@ -192,7 +201,7 @@ def fit(docs: DataFrame) -> Model:
     rows = _least(found)
     by = {kind: [what for k, what in rows if k == kind] for kind in ("", *BASE)}
     formats = {kind: infer(by[kind]) for kind in BASE}
-    return Model({k: a for k, a in formats.items() if a}, infer(by[""]))
+    return Model({k: a for k, a in formats.items() if a}, infer(by[""]), min((len(w) for kind in BASE for w in by[kind]), default=LEAST))
 
 
 def _least(found: DataFrame) -> list[tuple[str, str]]:
@@ -214,14 +223,14 @@ def spans_udf(spark: SparkSession, model: Model):
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         secret = Bounded(sent.value.is_secret)
         for texts in batches:
-            yield pd.Series([all_spans(t or "", secret) for t in texts])
+            yield pd.Series([all_spans(t or "", secret, sent.value.least) for t in texts])
 
     return apply
 
 
-def all_spans(text: str, secret: dict[str, bool]) -> list[dict]:
+def all_spans(text: str, secret: dict[str, bool], least: int = LEAST) -> list[dict]:
     base = base_spans(text)
-    found = [(a, i, b, kind) for i, (a, b, kind, _) in enumerate(base)] + [(a, len(base), b, LEARNED) for a, b, token in tokens(text, base) if secret[token]]
+    found = [(a, i, b, kind) for i, (a, b, kind, _) in enumerate(base)] + [(a, len(base), b, LEARNED) for a, b, token in tokens(text, base, least) if secret[token]]
     return [{"kind": kind, "start": a, "end": b} for a, _, b, kind in sorted(found)]
 
 
