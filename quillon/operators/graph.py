@@ -12,13 +12,18 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import sent
+
 _own: list[str] = []
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """df, written below spark.checkpoint.dir (a folder of this machine where it is unset, as in tests) and read back."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    """df, written below spark.checkpoint.dir (a folder of this machine where it is unset, as in tests on a local master) and read back."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(f"file://{tempfile.mkdtemp(prefix='quillon-graph-')}")
         folder = _own[0]
@@ -114,9 +119,9 @@ def paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, hops: int, direc
     found = None
     for length in range(1, hops + 1):
         front = keep(front.join(steps, F.col("at") == F.col("node")).where(~F.array_contains("nodes", F.col("near"))).select("start", F.concat("nodes", F.array("near")).alias("nodes"), F.col("near").alias("at")))
-        done = front.join(F.broadcast(goal), F.col("at") == F.col("end")).select("start", "end", "nodes", F.lit(length).alias("length"))  # a stated set of ends
+        done = front.join(sent(goal), F.col("at") == F.col("end")).select("start", "end", "nodes", F.lit(length).alias("length"))  # a stated set of ends
         found = done if found is None else found.union(done)
-        front = front.join(F.broadcast(goal), F.col("at") == F.col("end"), "left_anti")
+        front = front.join(sent(goal), F.col("at") == F.col("end"), "left_anti")
     return found
 
 
@@ -178,7 +183,7 @@ def largest_component(edges: DataFrame) -> DataFrame:
     """Its nodes: by size, then the least node."""
     labels = keep(components(edges))
     best = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size")).orderBy(F.col("size").desc(), "component").limit(1)
-    return labels.join(F.broadcast(best), "component").select("node", "component", "size")
+    return labels.join(sent(best), "component").select("node", "component", "size")
 
 
 def rank_communities(members: DataFrame, entities: DataFrame, limit: int) -> DataFrame:

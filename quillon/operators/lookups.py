@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions.hashing import sequence_key
 
+from .sizes import sent
+
 
 def resolve_alias(asked: DataFrame, names: DataFrame) -> DataFrame:
     """query, id, how: the id of a name of (id, name, kind): its symbol, else an alias; ties by id. Names without an id are gone.
@@ -27,8 +29,8 @@ def by_sequence(asked: DataFrame, known: DataFrame) -> DataFrame:
 def by_tiers(asked: DataFrame, names: DataFrame, limit: int) -> DataFrame:
     """query, id, tier, name: ids by their exact name, then an exact synonym, then a name that holds the query, in any case; each id once, up to the limit.
 
-    names: id, name, kind (name or synonym). asked is a stated query set, which is broadcast."""
-    q = F.broadcast(asked.select("query", F.lower(F.trim("query")).alias("q")).distinct())
+    names: id, name, kind (name or synonym). asked is a stated query set, which is broadcast while it is small."""
+    q = sent(asked.select("query", F.lower(F.trim("query")).alias("q")).distinct())
     low = F.lower(F.col("name"))
     tier = F.when((F.col("kind") == "name") & (low == F.col("q")), 0).when((F.col("kind") == "synonym") & (low == F.col("q")), 1).when((F.col("kind") == "name") & F.contains(low, F.col("q")), 2)
     hits = names.join(q, F.contains(low, F.col("q"))).withColumn("tier", tier).where("tier is not null")
@@ -51,8 +53,8 @@ def vocabulary_max(values: DataFrame, key: str, name: str, value: str, aliases:
 def resolve_term(asked: DataFrame, terms: DataFrame) -> DataFrame:
     """query, id, how: of terms (id, name) the one with that id, else that name, else the least whose name holds the query or is held by it.
 
-    asked is a stated query set, which is broadcast."""
-    q = F.broadcast(asked.select("query", F.lower(F.trim("query")).alias("q")).distinct())
+    asked is a stated query set, which is broadcast while it is small."""
+    q = sent(asked.select("query", F.lower(F.trim("query")).alias("q")).distinct())
     low = F.lower(F.col("name"))
     how = F.when(F.lower(F.col("id")) == F.col("q"), 0).when(low == F.col("q"), 1).when(F.contains(low, F.col("q")) | F.contains(F.col("q"), low), 2)
     best = terms.join(q, F.contains(low, F.col("q")) | F.contains(F.col("q"), low) | (F.lower(F.col("id")) == F.col("q"))).withColumn("how", how)

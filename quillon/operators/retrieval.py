@@ -7,7 +7,7 @@ best k of each batch, so that only k rows a query and batch are shuffled, howeve
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,25 +16,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.functions import vectors as V
+
+from .sizes import sent
 
 #: Queries that are sent at a time.
 QUERY_BLOCK = 2000
 
 
-def dense_topk(collection: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", vector: str = "vector", decimals: int = 6) -> DataFrame:
-    """query_id, id, rank, score: the k vectors of highest cosine for each query (query_id, vector), ties by id.
+def _blocks(queries: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """The stated queries (query_id, vector), QUERY_BLOCK at a time: the driver holds one block."""
+    block: list[tuple[int, np.ndarray]] = []
+    for r in queries.select("query_id", "vector").where("vector is not null").toLocalIterator():
+        block.append((r[0], np.asarray(r[1], float)))
+        if len(block) == QUERY_BLOCK:
+            yield block
+            block = []
+    if block:
+        yield block
 
-    Exact. Filters on the collection reach its scan. Null, empty, zero vectors, and those of another length than the query's score 0. Null query vectors have no result."""
-    asked = [(r[0], np.asarray(r[1], float)) for r in queries.select("query_id", "vector").where("vector is not null").toLocalIterator()]
+
+def _asked(collection: DataFrame, queries: DataFrame, run: Callable, id_col: str, vector: str) -> DataFrame:
     source = collection.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     out = None
-    for at in range(0, max(1, len(asked)), QUERY_BLOCK):
-        part = source.mapInPandas(_best(asked[at : at + QUERY_BLOCK], k, decimals), "query_id long, id long, score double")
+    for block in _blocks(queries):
+        part = source.mapInPandas(run(block), "query_id long, id long, score double")
         out = part if out is None else out.unionAll(part)
-    return ranked(out, k)
+    return out if out is not None else source.where(F.lit(False)).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score"))
+
+
+def dense_topk(collection: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", vector: str = "vector", decimals: int = 6) -> DataFrame:
+    """query_id, id, rank, score: the k vectors of highest cosine for each query (query_id, vector), ties by id.
+
+    Exact. Filters on the collection reach its scan. Null, empty, zero vectors, and those of another length than the query's score 0. Null query vectors have no result."""
+    return ranked(_asked(collection, queries, lambda block: _best(block, k, decimals), id_col, vector), k)
+
 
+def dense_above(collection: DataFrame, queries: DataFrame, least: float, *, id_col: str = "id", vector: str = "vector", decimals: int = 6) -> DataFrame:
+    """query_id, id, score of all pairs whose cosine reaches `least`: a filter, without a rank."""
+    return _asked(collection, queries, lambda block: _best(block, None, decimals, least), id_col, vector)
 
-def _best(asked: list[tuple[int, np.ndarray]], k: int, decimals: int):
+
+def _best(asked: list[tuple[int, np.ndarray]], k: int | None, decimals: int, least: float | None = None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
@@ -49,7 +72,7 @@ def _best(asked: list[tuple[int, np.ndarray]], k: int, decimals: int):
                     m, norm = stacked[len(v)], norms[len(v)]
                     score[by_length[len(v)]] = np.divide(m @ v, norm * size, out=np.zeros(len(m)), where=norm > 0)
                 score = np.round(score, decimals) + 0.0
-                best = np.lexsort((ids, -score))[:k]
+                best = np.lexsort((ids, -score))[:k] if least is None else np.flatnonzero(score >= least)
                 found.append(pd.DataFrame({"query_id": query, "id": ids[best], "score": score[best]}))
             if found:
                 yield pd.concat(found)
@@ -92,7 +115,7 @@ def heading_rank(headings: DataFrame, wanted: DataFrame, limit: int, broad_above
     """id, matches, rank: ids by the number of distinct wanted terms (term) that they have; ties by the id as text, descending.
 
     Terms with more than broad_above ids are passed over."""
-    use = headings.join(F.broadcast(wanted.select("term").distinct()), "term")  # a query's terms
+    use = headings.join(sent(wanted.select("term").distinct()), "term")  # a query's terms
     if broad_above is not None:
         use = use.join(broad_terms(use, broad_above), "term", "left_anti")
     counted = use.groupBy("id").agg(F.count_distinct("term").alias("matches"))
@@ -103,7 +126,7 @@ def heading_rank(headings: DataFrame, wanted: DataFrame, limit: int, broad_above
 def heading_weights(headings: DataFrame, weighted: DataFrame, limit: int) -> DataFrame:
     """id, score, matches: the sum of 1 / (1 + hop) over the distinct terms (term, hop) that an id has."""
     nearest = weighted.groupBy("term").agg(F.min("hop").alias("hop"))
-    found = headings.select("id", "term").distinct().join(F.broadcast(nearest), "term")  # a query's terms
+    found = headings.select("id", "term").distinct().join(sent(nearest), "term")  # a query's terms
     out = found.groupBy("id").agg(F.round(F.sum(1 / (1 + F.col("hop"))), 6).alias("score"), F.count(F.lit(1)).alias("matches"))
     return out.orderBy(F.col("score").desc(), F.col("matches").desc(), F.col("id").cast("string").desc()).limit(limit)
 
@@ -197,13 +220,19 @@ def tiered(ranking: DataFrame, k: int, text: str = "text", title: str = "title")
     return out.where(F.col("place") <= k)
 
 
-def lexical_rerank(ranking: DataFrame, terms: dict[int, list[str]], column: str = "text", weight: float = 10.0) -> DataFrame:
+def lexical_rerank(ranking: DataFrame, terms: list[str], column: str = "text", weight: float = 10.0) -> DataFrame:
     """By weight * (query terms in the text) + score."""
-    out = None
-    for query, ws in terms.items():
-        part = ranking.where(F.col("query_id") == query).withColumn("overlap", sum((has_keyword(F.col(column), w).cast("int") for w in ws), F.lit(0)))
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("score", F.round(weight * F.col("overlap") + F.col("score"), 6))
+    overlap = sum((has_keyword(F.col(column), w).cast("int") for w in terms), F.lit(0))
+    return ranking.withColumn("overlap", overlap).withColumn("score", F.round(weight * F.col("overlap") + F.col("score"), 6))
+
+
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """df with place 0, 1, ... in order of a column of distinct values, by ranges: rows are sorted in parts, and only the parts' counts meet in one task."""
+    part = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    part = part.sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    counts = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return part.join(sent(before), "_part").withColumn("place", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")  # a row a partition
 
 
 def widen(ranking: DataFrame, usable: Column, k: int, limits: tuple[int, ...]) -> DataFrame:
@@ -229,26 +258,28 @@ class Strategy:
     rerank: bool = False
 
 
-#: The fourteen presets: A without, B with reranking, C dense only.
+#: The fourteen presets: A by filters only, B by filters and vectors, C by vectors only; each without and with reranking.
 STRATEGIES = {
-    "A1": Strategy(mesh=True), "A2": Strategy(mesh=True, vector_within=True), "A3": Strategy(keyword=True), "A4": Strategy(keyword=True, vector_within=True),
-    "A5": Strategy(mesh=True, keyword=True), "A6": Strategy(mesh=True, keyword=True, vector_within=True),
-    "B1": Strategy(mesh=True, rerank=True), "B2": Strategy(mesh=True, vector_within=True, rerank=True), "B3": Strategy(keyword=True, rerank=True),
-    "B4": Strategy(keyword=True, vector_within=True, rerank=True), "B5": Strategy(mesh=True, keyword=True, rerank=True), "B6": Strategy(mesh=True, keyword=True, vector_within=True, rerank=True),
+    "A1": Strategy(mesh=True), "A2": Strategy(mesh=True, rerank=True), "A3": Strategy(keyword=True), "A4": Strategy(keyword=True, rerank=True),
+    "A5": Strategy(mesh=True, keyword=True), "A6": Strategy(mesh=True, keyword=True, rerank=True),
+    "B1": Strategy(mesh=True, vector_within=True), "B2": Strategy(mesh=True, vector_within=True, rerank=True), "B3": Strategy(keyword=True, vector_within=True),
+    "B4": Strategy(keyword=True, vector_within=True, rerank=True), "B5": Strategy(mesh=True, keyword=True, vector_within=True), "B6": Strategy(mesh=True, keyword=True, vector_within=True, rerank=True),
     "C1": Strategy(dense=True), "C2": Strategy(dense=True, rerank=True),
 }
 
 
-def hybrid(strategy: Strategy, collection: DataFrame, queries: DataFrame, mesh_ids: DataFrame, keyword_ids: DataFrame, *, fused: int = 200, k: int = 50) -> DataFrame:
-    """A preset over a collection (id, vector): its paths, fused, cut to `fused`, reranked by vector if it says so, cut to k."""
+def hybrid(strategy: Strategy, collection: DataFrame, queries: DataFrame, mesh_ids: DataFrame, keyword_ids: DataFrame, *, each: int = 100, fused: int = 200, k: int = 50) -> DataFrame:
+    """A preset over a collection (id, vector): its paths of `each` rows, fused, cut to `fused`, reranked by vector if it says so, cut to k."""
     paths = []
 
     def path(name: str, ids: DataFrame) -> None:
         if strategy.vector_within:
-            run = dense_topk(collection.join(ids.select("id").distinct(), "id", "left_semi"), queries, fused)
+            run = dense_topk(collection.join(ids.select("id").distinct(), "id", "left_semi"), queries, each)
         else:
-            every = ids.select("id").distinct().join(F.broadcast(queries.select("query_id")))  # a stated query set
-            run = rank_score(every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).where(F.col("rank") <= fused))
+            first = ids.select("id").distinct().orderBy("id").limit(each)  # the same ids for every query
+            place, n = F.row_number().over(Window.orderBy("id")), F.count(F.lit(1)).over(Window.partitionBy())
+            scored = first.select("id", place.alias("rank"), F.round(1 - (place - 1) / n, 9).alias("score"))
+            run = queries.select("query_id").join(sent(scored))  # at most `each` rows
         paths.append(run.select("query_id", F.lit(name).alias("path"), "id", "rank", "score"))
 
     if strategy.mesh:
@@ -256,12 +287,12 @@ def hybrid(strategy: Strategy, collection: DataFrame, queries: DataFrame, mesh_i
     if strategy.keyword:
         path("keyword", keyword_ids)
     if strategy.dense:
-        paths.append(dense_topk(collection, queries, fused).select("query_id", F.lit("dense").alias("path"), "id", "rank", "score"))
+        paths.append(dense_topk(collection, queries, each).select("query_id", F.lit("dense").alias("path"), "id", "rank", "score"))
     union = paths[0]
     for p in paths[1:]:
         union = union.unionByName(p)
     out = fuse(union, limit=fused)
-    if strategy.rerank:
-        again = dense_topk(collection.join(out.select("id").distinct(), "id", "left_semi"), queries, 10 * fused)
-        out = ranked(out.select("query_id", "id").join(again.select("query_id", "id", "score"), ["query_id", "id"]), k)
+    if strategy.rerank:  # just the pairs that were found
+        pairs = out.select("query_id", "id").join(queries.select("query_id", F.col("vector").alias("_asked")), "query_id").join(collection.select("id", "vector"), "id")
+        out = ranked(pairs.select("query_id", "id", F.round(V.cosine(F.col("vector"), F.col("_asked")), 6).alias("score")), k)
     return out.where(F.col("rank") <= k)

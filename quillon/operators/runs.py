@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import sent
+
 
 def latest(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
     """Of each key the row of the greatest time, on ties the least `tie`. Aggregated map-side, so that a hot key stays small."""
@@ -75,7 +78,7 @@ def latency(df: DataFrame, by: list[str], millis: str) -> DataFrame:
 def coverage(scores: DataFrame, totals: DataFrame, by: str) -> DataFrame:
     """n against the totals (by, total); where there is no total, n stands for it."""
     n = scores.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    out = n.join(F.broadcast(totals), by, "left").withColumn("total", F.coalesce("total", "n"))  # one row a dataset
+    out = n.join(sent(totals), by, "left").withColumn("total", F.coalesce("total", "n"))  # one row a dataset
     return out.withColumn("coverage", F.round(F.col("n") / F.col("total"), 6))
 
 
@@ -92,23 +95,27 @@ def mean_with_empty_gold(scores: DataFrame, by: list[str], value: str, empty: Co
     return scores.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(empty, F.lit(1.0)).otherwise(F.col(value))), 6).alias("mean"))
 
 
-def bootstrap(scores: DataFrame, by: str, value: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
+def bootstrap(scores: DataFrame, by: str, value: str, key: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
     """mean, low, high: 95 % intervals of the mean from Poisson resampling.
 
-    Each value counts a Poisson(1) number of times in each round, drawn from the seed, its batch and place; sums are taken batch by batch and then
-    added, so a group may be of any size."""
+    Each value counts a Poisson(1) number of times in each round, drawn from the seed and the row's key, so reruns agree however the rows are dealt out; sums are
+    taken batch by batch and then added, so a group may be of any size."""
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for k, batch in enumerate(batches):
-            for key, part in batch.groupby(by, dropna=False):
+        places = np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            for group, part in batch.groupby(by, dropna=False):
                 for at in range(0, len(part), 2000):
-                    values = part[value].to_numpy(float)[at : at + 2000]
-                    rng = np.random.default_rng([seed, k, at, len(values), int(abs(values.sum()) * 1000) % (1 << 31)])
-                    times = rng.poisson(1.0, (len(values), rounds))
-                    yield pd.DataFrame({by: key, "round": range(rounds), "total": values @ times, "times": times.sum(axis=0), "plain": values.sum(), "n": len(values)})
+                    some = part.iloc[at : at + 2000]
+                    values, h = some[value].to_numpy(float), some["_draw"].to_numpy(np.int64).view(np.uint64)[:, None] + places
+                    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)  # each bit of key and round moves all others
+                    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                    times = np.searchsorted(steps, (h >> np.uint64(11)) / float(1 << 53), side="right")
+                    yield pd.DataFrame({by: group, "round": range(rounds), "total": values @ times, "times": times.sum(axis=0), "plain": values.sum(), "n": len(values)})
 
     kind = scores.schema[by].dataType.simpleString()
-    sums = scores.select(by, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull()).mapInPandas(partial, f"{by} {kind}, round int, total double, times long, plain double, n long")
+    sums = scores.select(by, F.col(value).cast("double").alias(value), F.xxhash64(F.lit(seed), key).alias("_draw")).where(F.col(value).isNotNull()).mapInPandas(partial, f"{by} {kind}, round int, total double, times long, plain double, n long")
     means = sums.groupBy(by, "round").agg((F.sum("total") / F.sum("times")).alias("mean"), F.sum("plain").alias("plain"), F.sum("n").alias("n"))
     return means.groupBy(by).agg(
         F.max("n").alias("n"), F.round(F.max("plain") / F.max("n"), 6).alias("mean"), F.round(F.percentile("mean", 0.025), 6).alias("low"), F.round(F.percentile("mean", 0.975), 6).alias("high"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
@@ -11,17 +11,17 @@ from quillon.operators import retrieval as R
 
 from .registry import query, table
 
-#: The queries that these examples ask: the first five vectors.
-ASKED = 5
+#: The queries that these examples ask: the vectors whose id this divides.
+ASKED = 50
 
 SCORED = """
   SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
-  FROM embeddings e, embeddings q WHERE q.vec_id < 5"""
+  FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0"""
 RANKED = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)"
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < ASKED).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % ASKED == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,22 +86,33 @@ def rrf_single_path(spark, sf_dir):
     return R.fuse(two_paths(spark, sf_dir).where("path = 'dense'"), limit=20)
 
 
-@query("hybrid_preset_c2", f"SELECT query_id, id, {RANKED} AS rank, score FROM ({SCORED}) QUALIFY {RANKED} <= 50")
-def hybrid_preset_c2(spark, sf_dir):
-    none = spark.createDataFrame([], "id long")
-    return R.hybrid(R.STRATEGIES["C2"], collection(spark, sf_dir), asked(spark, sf_dir), none, none)
+PARTS = {
+    "vector": {name: f"SELECT query_id, '{name}' AS path, id, {RANKED} AS rank, score FROM ({SCORED}) WHERE {where} QUALIFY {RANKED} <= 100" for name, where in (("mesh", "label = 1"), ("keyword", "id % 3 = 0"))},
+    "filter": {
+        name: f"SELECT vec_id AS query_id, '{name}' AS path, id, place AS rank, round(1 - (place - 1) / CAST(n AS DOUBLE), 9) AS score FROM embeddings, (SELECT id, row_number() OVER (ORDER BY id) AS place, count(*) OVER () AS n FROM (SELECT vec_id AS id FROM embeddings WHERE {where} ORDER BY id LIMIT 100)) WHERE vec_id % 50 = 0"
+        for name, where in (("mesh", "label = 1"), ("keyword", "vec_id % 3 = 0"))
+    },
+}
+DENSE = f"SELECT query_id, 'dense' AS path, id, {RANKED} AS rank, score FROM ({SCORED}) QUALIFY {RANKED} <= 100"
 
 
-@query("hybrid_preset_b6", f"""
-WITH m AS (SELECT * FROM ({SCORED}) WHERE label = 1), k AS (SELECT * FROM ({SCORED}) WHERE id % 3 = 0),
-paths AS (SELECT query_id, id, {RANKED} AS rank, score FROM m QUALIFY {RANKED} <= 200 UNION ALL SELECT query_id, id, {RANKED}, score FROM k QUALIFY {RANKED} <= 200),
-fused AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM paths GROUP BY query_id, id),
-cut AS (SELECT query_id, id FROM fused QUALIFY {RANKED} <= 200),
-again AS (SELECT c.query_id, c.id, s.score FROM cut c JOIN ({SCORED}) s USING (query_id, id))
-SELECT query_id, id, {RANKED} AS rank, score FROM again QUALIFY {RANKED} <= 50""")
-def hybrid_preset_b6(spark, sf_dir):
-    c = collection(spark, sf_dir)
-    return R.hybrid(R.STRATEGIES["B6"], c, asked(spark, sf_dir), c.where("label = 1"), c.where("id % 3 = 0"))
+def preset_sql(s: R.Strategy) -> str:
+    of = PARTS["vector" if s.vector_within else "filter"]
+    paths = " UNION ALL ".join([*([of["mesh"]] if s.mesh else []), *([of["keyword"]] if s.keyword else []), *([DENSE] if s.dense else [])])
+    fused = "SELECT query_id, id, round(CASE WHEN max(n) = 1 THEN max(score) ELSE sum(1.0 / (60 + rank)) END, 9) AS score FROM (SELECT p.*, n FROM paths p JOIN (SELECT query_id, count(DISTINCT path) AS n FROM paths GROUP BY query_id) USING (query_id)) GROUP BY query_id, id"
+    again = f"SELECT c.query_id, c.id, s.score FROM cut c JOIN ({SCORED}) s USING (query_id, id)" if s.rerank else "SELECT query_id, id, score FROM cut"
+    return f"WITH paths AS ({paths}), fused AS ({fused}), cut AS (SELECT query_id, id, score FROM fused QUALIFY {RANKED} <= 200), again AS ({again}) SELECT query_id, id, {RANKED} AS rank, score FROM again QUALIFY {RANKED} <= 50"
+
+
+def _preset(name: str) -> None:
+    @query(f"hybrid_preset_{name.lower()}", preset_sql(R.STRATEGIES[name]))
+    def run(spark, sf_dir):
+        c = collection(spark, sf_dir)
+        return R.hybrid(R.STRATEGIES[name], c, asked(spark, sf_dir), c.where("label = 1"), c.where("id % 3 = 0"))
+
+
+for _name in R.STRATEGIES:
+    _preset(_name)
 
 
 @query("term_threshold_dedup", f"""
@@ -110,7 +121,7 @@ best AS (SELECT 0 AS query_id, id, score FROM hits QUALIFY row_number() OVER (PA
 SELECT CAST(query_id AS BIGINT) AS query_id, CAST(id AS BIGINT) AS id, {RANKED} AS rank, score FROM best""")
 def term_threshold_dedup(spark, sf_dir):
     c = collection(spark, sf_dir)
-    hits = R.dense_topk(c, asked(spark, sf_dir), 1_000_000_000).join(c.select("id", "label"), "id")
+    hits = R.dense_above(c, asked(spark, sf_dir), 0.2).join(c.select("id", "label"), "id")
     hits = hits.select(F.lit(0).cast("long").alias("query_id"), F.col("query_id").alias("term"), F.col("label").cast("long").alias("id"), "score")
     return R.vocabulary_matches(hits, 0.2)
 
@@ -178,7 +189,7 @@ FROM s JOIN documents d ON d.doc_id = s.id""")
 def lexical_rerank(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
     hydrated = R.hydrate(top(spark, sf_dir, 50), docs, ["text"])
-    return R.lexical_rerank(hydrated, {q: ["the", "license"] for q in range(ASKED)}).select("query_id", "id", "score")
+    return R.lexical_rerank(hydrated, ["the", "license"]).select("query_id", "id", "score")
 
 
 @query("lookup_by_ids", f"SELECT s.query_id, s.id, s.rank, d.lang, d.source FROM (SELECT *, {RANKED} AS rank FROM ({SCORED}) QUALIFY {RANKED} <= 20) s JOIN documents d ON d.doc_id = s.id")
@@ -186,11 +197,9 @@ def lookup_by_ids(spark, sf_dir):
     return R.hydrate(top(spark, sf_dir, 20), table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), ["lang", "source"]).select("query_id", "id", "rank", "lang", "source")
 
 
-@query("lookup_pseudo_score", "SELECT doc_id, round(1 - 0.01 * (row_number() OVER (ORDER BY doc_id) - 1), 6) AS score FROM documents WHERE doc_id < 60 AND text IS NOT NULL AND text <> ''")
+@query("lookup_pseudo_score", "SELECT doc_id, round(1 - 0.01 * (row_number() OVER (ORDER BY doc_id) - 1), 6) AS score FROM documents WHERE text IS NOT NULL AND text <> ''")
 def lookup_pseudo_score(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").where("doc_id < 60 AND text IS NOT NULL AND text <> ''").select(F.lit(0).alias("query_id"), "doc_id")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
-    return found.select("doc_id", F.round(1 - 0.01 * (place - 1), 6).alias("score"))
+    return R.numbered(table(spark, sf_dir, "documents").where("text IS NOT NULL AND text <> ''").select("doc_id"), "doc_id").select("doc_id", F.round(1 - 0.01 * F.col("place"), 6).alias("score"))
 
 
 @query("tiered_hydration", f"""
@@ -254,11 +263,11 @@ def round_robin_merge(spark, sf_dir):
     return R.round_robin(pools(spark, sf_dir), 20)
 
 
-GOLD = "SELECT q AS query_id, v AS id FROM (SELECT unnest(range(5)) AS q), (SELECT unnest([3, 77, 140]) AS v)"
+GOLD = "SELECT vec_id AS query_id, v AS id FROM embeddings, (SELECT unnest([3, 77, 140]) AS v) WHERE vec_id % 50 = 0"
 
 
-def gold(spark: SparkSession) -> DataFrame:
-    return spark.range(ASKED).select(F.col("id").alias("query_id"), F.explode(F.array(*[F.lit(x).cast("long") for x in (3, 77, 140)])).alias("id"))
+def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asked(spark, sf_dir).select("query_id", F.explode(F.array(*[F.lit(x).cast("long") for x in (3, 77, 140)])).alias("id"))
 
 
 @query("oracle_inject", f"""
@@ -266,7 +275,7 @@ WITH g AS ({GOLD}), r AS (SELECT *, {RANKED} AS rank FROM ({SCORED}) QUALIFY {RA
 b AS (SELECT query_id, id, 0 AS kind, 0 AS rank FROM g UNION ALL SELECT query_id, id, 1, rank FROM r WHERE (query_id, id) NOT IN (SELECT query_id, id FROM g))
 SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY kind, rank, id) AS place, kind = 0 AS gold FROM b QUALIFY place <= 20""")
 def oracle_inject(spark, sf_dir):
-    return R.inject_gold(top(spark, sf_dir, 20), gold(spark), 20)
+    return R.inject_gold(top(spark, sf_dir, 20), gold(spark, sf_dir), 20)
 
 
 GOLD_RANKS = f"""
@@ -276,14 +285,14 @@ GOLD_RANKS = f"""
 
 @query("gold_ranks", GOLD_RANKS)
 def gold_ranks(spark, sf_dir):
-    return R.gold_ranks(top(spark, sf_dir, 50), gold(spark))
+    return R.gold_ranks(top(spark, sf_dir, 50), gold(spark, sf_dir))
 
 
 @query("retrieval_metrics", f"""
 SELECT count(*) AS n_queries, round(avg(CAST(gold_rank BETWEEN 1 AND 1 AS DOUBLE)), 6) AS recall_1, round(avg(CAST(gold_rank BETWEEN 1 AND 10 AS DOUBLE)), 6) AS recall_10,
 round(avg(CAST(gold_rank >= 1 AS DOUBLE)), 6) AS ceiling FROM ({GOLD_RANKS})""")
 def retrieval_metrics(spark, sf_dir):
-    return R.recall_at(R.gold_ranks(top(spark, sf_dir, 50), gold(spark)), (1, 10))
+    return R.recall_at(R.gold_ranks(top(spark, sf_dir, 50), gold(spark, sf_dir)), (1, 10))
 
 
 @query("widening_limits", f"""
@@ -343,10 +352,10 @@ def greedy_budget_pack(spark, sf_dir):
 
 
 @query("chunk_section_paper", """
-SELECT l.l_orderkey, l.l_linenumber, o.o_orderpriority, c.c_mktsegment FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey WHERE l.l_partkey < 10""")
+SELECT l.l_orderkey, l.l_linenumber, o.o_orderpriority, c.c_mktsegment FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey """)
 def chunk_section_paper(spark, sf_dir):
     """Chunk, section and paper as a three-way join: line item, order, customer."""
-    lines = table(spark, sf_dir, "lineitem").where("l_partkey < 10").select("l_orderkey", "l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority")
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     return lines.join(orders, "l_orderkey").join(customers, "o_custkey").select("l_orderkey", "l_linenumber", "o_orderpriority", "c_mktsegment")

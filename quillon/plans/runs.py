@@ -171,4 +171,4 @@ def delta_totals(spark, sf_dir):
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark, sf_dir):
-    return R.bootstrap(log(spark, sf_dir), "dataset", "score")
+    return R.bootstrap(log(spark, sf_dir), "dataset", "score", "event_id")

@@ -82,9 +82,9 @@ def section_roles(spark, sf_dir):
 
 
 @query("blocked_sections", """
-SELECT doc_id, source IN ('references', 'acknowledgements', 'funding') OR regexp_matches(lower(source || ' ' || substr(text, 1, 200)), 'reference|acknowledg|funding|conflict of interest|supplement|author contribution') AS blocked FROM documents""")
+SELECT doc_id, source IN ('references', 'acknowledgements', 'funding') OR regexp_matches(lower(source || ' ' || coalesce(text, '')), 'reference|acknowledg|funding|conflict of interest|supplement|author contribution') AS blocked FROM documents""")
 def blocked_sections(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.blocked_section(F.col("source"), F.substring("text", 1, 200)).alias("blocked"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.blocked_section(F.col("source"), F.col("text")).alias("blocked"))
 
 
 @query("minimum_length", f"SELECT doc_id FROM documents WHERE length({COLLAPSED.format('text')}) >= 80")
@@ -111,10 +111,9 @@ def chunk_keys(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", H.chunk_key(F.col("doc_id"), F.col("source"), F.col("text")).alias("chunk_key"))
 
 
-@query("capitalised_phrases", r"SELECT item_id, array_to_string(list_distinct(regexp_extract_all(text, '\b([A-Z][a-z]+(?: [A-Z][a-z]+)*)\b', 1)).list_sort(), '|') AS phrases FROM benchmark WHERE regexp_matches(text, '^[\x00-\x7F]*$')")
+@query("capitalised_phrases")
 def capitalised_phrases(spark, sf_dir):
-    found = T.capitalised_phrases(F.col("text"))
-    return table(spark, sf_dir, "benchmark").where(F.regexp_like("text", F.lit(r"^[\x00-\x7F]*$"))).select("item_id", F.array_join(F.array_sort(found), "|").alias("phrases"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.array_sort(T.capitalised_phrases(F.col("text"))), "|").alias("phrases"))
 
 
 @query("text_cleaning", r"""

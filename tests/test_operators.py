@@ -128,8 +128,9 @@ def test_rouge():
 
 
 def test_bootstrap_holds_the_mean(spark):
-    df = spark.createDataFrame([("a", float(k % 10)) for k in range(500)], "g string, v double")
-    r = runs.bootstrap(df, "g", "v").first()
+    df = spark.createDataFrame([(k, "a", float(k % 10)) for k in range(500)], "id long, g string, v double")
+    r = runs.bootstrap(df, "g", "v", "id").first()
+    assert runs.bootstrap(df.repartition(3), "g", "v", "id").first() == r
     assert r["n"] == 500 and r["mean"] == 4.5 and r["low"] < 4.5 < r["high"] and r["high"] - r["low"] < 1
 
 
