@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bounded, fresh, held_out, labelled_texts, table
+from .common import Bounded, fitted, fresh, held_out, labelled_texts, table
 
 #: Labelled documents that a fit reads at most.
 FIT_ROWS = 2500
@@ -118,7 +118,7 @@ def with_score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
-    return fit(labelled_texts(docs, labels, "quality", FIT_ROWS, 5, 0, "quality"))
+    return fitted(labelled_texts(docs, labels, "quality", FIT_ROWS, 5, 0, "quality"), fit)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

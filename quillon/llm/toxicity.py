@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bounded, held_out, labelled_texts, table
+from .common import Bounded, fitted, held_out, labelled_texts, table
 
 #: Labelled documents that a fit reads at most, and features that the model knows at most.
 FIT_ROWS, MOST_FEATURES = 4000, 100_000
@@ -109,7 +109,7 @@ def with_score(docs: DataFrame, weights: dict[str, float], name: str = "score")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
-    return fit(labelled_texts(docs, labels, "toxic", FIT_ROWS, 5, 0, "toxic"))
+    return fitted(labelled_texts(docs, labels, "toxic", FIT_ROWS, 5, 0, "toxic"), fit)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
