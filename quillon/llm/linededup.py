@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import fresh, keep, table
-from .links import Form, banded, bounded, counted, linked
+from .common import discard, fresh, keep, release, table
+from .links import Form, bounded, counted, distinct_buckets, linked
 from .neardup import doc_key
 
 #: Characters of a shingle, least similarity in hundredths, bands, hashes of a band. Lines of similarity s meet in a band with probability
@@ -21,8 +21,14 @@ from .neardup import doc_key
 CHARS, PERCENT, BANDS, ROWS = 7, 75, 20, 4
 #: Characters that numpy works on at a time, about: what the processor's cache holds.
 CHUNK = 100_000
-LINES = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.int64()), ("line", pa.int32()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
-LINES_SQL = "doc_id long, doc_key long, line int, node long, keys array<long>"
+#: Distinct lines, and characters of them, that a task gathers before it sends their keys on; keys that meet in one part of the search for equal keys, about; parts at least.
+GATHER_LINES, GATHER_CHARS, PART_KEYS, PARTS = 25_000, 4_000_000, 2_000_000, 64
+#: Pairs that are compared at a time.
+PAIRS = 500
+LINES = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.int64()), ("line", pa.int32()), ("node", pa.int64())])
+LINES_SQL = "doc_id long, doc_key long, line int, node long"
+PACKED = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("many", pa.binary())])
+PACKED_SQL = "part int, keys binary, nodes binary, many binary"
 
 
 def normal(line: str) -> str:
@@ -75,24 +81,94 @@ def line_keys(lines: list[str]) -> np.ndarray:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line that isn't blank; its keys where the batch has the line for the first time, else null."""
+    """A row for each line that isn't blank."""
     for batch in batches:
         ids, keys, texts = (batch.column(k).to_pylist() for k in ("doc_id", "doc_key", "text"))
-        at: dict[str, int] = {}
-        found, first = [], []
-        for i, (doc, key, text) in enumerate(zip(ids, keys, texts, strict=True)):
+        nodes: dict[str, int] = {}
+        found = []
+        for doc, key, text in zip(ids, keys, texts, strict=True):
             for line, content in enumerate(text.split("\n") if text else ()):
                 content = normal(content)
                 if content:
-                    first.append(content not in at)
-                    found.append((doc, key, line, at.setdefault(content, len(at))))
-        nodes = [node_of(x) for x in at]
-        table_ = line_keys(list(at))
-        fresh = np.array(first, bool)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(fresh)]) * BANDS, pa.int32(), mask=np.append(~fresh, False)) if found else pa.array([0], pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(table_.ravel()))]
-        docs, doc_keys, lines, places = zip(*found, strict=True) if found else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(doc_keys, pa.int64()), pa.array(lines, pa.int32()), pa.array([nodes[x] for x in places], pa.int64()), *lists], schema=LINES)
+                    if content not in nodes:
+                        nodes[content] = node_of(content)
+                    found.append((doc, key, line, nodes[content]))
+        columns = zip(*found, strict=True) if found else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, LINES, strict=True)], schema=LINES)
+
+
+def packer(parts: int):
+    """Batches of text -> rows of PACKED: the band keys of the lines, in parts by key, each with a node that has it, and whether several of those gathered have it.
+
+    The others of these nodes follow in rows of parts from `parts` on: their keys are known to be shared already. So a key that very many nodes have comes to
+    its part once from each task's gathering."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        chars = 0
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                for line in text.split("\n") if text else ():
+                    line = normal(line)
+                    if line and line not in seen:
+                        seen.add(line)
+                        chars += len(line)
+                if len(seen) >= GATHER_LINES or chars >= GATHER_CHARS:
+                    yield _packed(sorted(seen), parts)
+                    seen, chars = set(), 0
+        if seen:
+            yield _packed(sorted(seen), parts)
+
+    return of
+
+
+def _packed(lines: list[str], parts: int) -> pa.RecordBatch:
+    nodes = np.array([node_of(x) for x in lines], np.int64)
+    keys = line_keys(lines).T.ravel()
+    nodes = np.tile(nodes, BANDS)
+    order = np.argsort(keys, kind="stable")
+    keys, nodes = keys[order], nodes[order]
+    first = np.append(True, keys[1:] != keys[:-1])
+    many = np.diff(np.append(np.flatnonzero(first), len(keys))) > 1
+    rows = []
+    for keys_, nodes_, many_, beyond in ((keys[first], nodes[first], many, 0), (keys[~first], nodes[~first], np.ones(int((~first).sum()), bool), parts)):
+        part = (keys_.view(np.uint64) % np.uint64(parts)).astype(np.int64) if not beyond else (np.arange(len(keys_)) // 65_536 + int(keys[0] % parts)) % parts
+        order = np.argsort(part, kind="stable")
+        at = np.append(np.flatnonzero(np.append(True, np.diff(part[order]) != 0)), len(part)) if len(part) else [0]
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            some = order[a:b]
+            rows.append((int(part[some[0]]) + beyond, keys_[some].tobytes(), nodes_[some].tobytes(), many_[some].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), PACKED, strict=True)], schema=PACKED)
+
+
+def shared(parts: int):
+    """The rows of PACKED of one part -> bucket, node: of each key that two nodes or more have, those that came with it."""
+
+    def of(table_: pa.Table) -> pa.Table:
+        keys, nodes, many = (np.frombuffer(b"".join(table_[c].to_pylist()), kind) for c, kind in (("keys", np.int64), ("nodes", np.int64), ("many", bool)))
+        if table_["part"][0].as_py() < parts:
+            order = np.lexsort((nodes, keys))
+            keys, nodes, many = keys[order], nodes[order], many[order]
+            fresh_key = np.append(True, keys[1:] != keys[:-1])
+            fresh_pair = fresh_key | np.append(True, nodes[1:] != nodes[:-1])
+            starts = np.flatnonzero(fresh_key)
+            wanted = (np.add.reduceat(fresh_pair, starts, dtype=np.int64) > 1) | np.logical_or.reduceat(many, starts)
+            some = fresh_pair & np.repeat(wanted, np.diff(np.append(starts, len(keys))))
+            keys, nodes = keys[some], nodes[some]
+        return pa.table({"bucket": keys, "node": nodes})
+
+    return of
+
+
+def banded(docs: DataFrame, n_lines: int) -> DataFrame:
+    """bucket, node, n: of each band key that two lines or more of docs (text) have, their nodes, and how many these are."""
+    parts = max(PARTS, -(-n_lines * BANDS // PART_KEYS))
+    packed = docs.select("text").mapInArrow(packer(parts), PACKED_SQL)
+    rows = keep(packed.groupBy("part").applyInArrow(shared(parts), "bucket long, node long").distinct(), "lines-bands")
+    release(docs.sparkSession)
+    found = distinct_buckets(rows, "lines")
+    discard(rows)
+    return found
 
 
 def line_texts(docs: DataFrame, where: DataFrame, n: int) -> DataFrame:
@@ -115,20 +191,28 @@ def _set(line: str) -> np.ndarray:
     return np.unique(shingle_hashes([line], 64)[0])
 
 
+def _pairs_of_sets(left: pd.Series, right: pd.Series) -> Iterator[tuple[frozenset, frozenset]]:
+    """The sets of each pair, PAIRS pairs at a time: the lines of these are hashed together."""
+    for at in range(0, len(left), PAIRS):
+        l, r = left.iloc[at : at + PAIRS].tolist(), right.iloc[at : at + PAIRS].tolist()
+        lines = list(dict.fromkeys([*l, *r]))
+        hashes, starts = shingle_hashes(lines, 64)
+        sets = {x: frozenset(h.tolist()) for x, h in zip(lines, np.split(hashes, starts[1:]), strict=True)}
+        yield from ((sets[x], sets[y]) for x, y in zip(l, r, strict=True))
+
+
 def _compare(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    sets = {x: _set(x) for x in {*left, *right}}  # of one batch
-    pairs = [(sets[l], sets[r]) for l, r in zip(left, right, strict=True)]
-    return pd.DataFrame({"both": [len(np.intersect1d(l, r, assume_unique=True)) for l, r in pairs], "n_left": [len(l) for l, _ in pairs], "n_right": [len(r) for _, r in pairs]}).astype("int64")
+    return pd.DataFrame([(len(x & y), len(x), len(y)) for x, y in _pairs_of_sets(left, right)], columns=["both", "n_left", "n_right"], dtype="int64")
 
 
-def _items(lines: pd.Series) -> pd.Series:
-    return pd.Series([_set(x).view(np.int64) for x in lines])
+def _differ(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([np.array(sorted(x ^ y), np.uint64).view(np.int64) for x, y in _pairs_of_sets(left, right)], dtype="object")
 
 
 #: Sets of shingles as the lines that they are of: an eighth of the bytes to shuffle.
 LINE_FORM = Form(
     lambda left, right: F.pandas_udf(_compare, "both long, n_left long, n_right long")(left, right),
-    lambda items: F.pandas_udf(_items, "array<long>")(items),
+    lambda left, right: F.pandas_udf(_differ, "array<long>")(left, right),
 )
 
 
@@ -145,14 +229,29 @@ def with_dropped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         some = lines.select("node", at).join(bounded(wanted, n), "node").groupBy("node").agg(F.min("at").alias("at"))
         return line_texts(docs, keep(some.select("node", "at.doc_key", "at.line"), "lines-where"), n)
 
-    united, links = linked(banded(lines.where("keys is not null"), "lines"), sets_of, PERCENT, "lines", LINE_FORM)
+    united, links = linked(banded(docs, lines.count()), sets_of, PERCENT, "lines", LINE_FORM)
     # Only lines that occur again or are linked need a look.
     again = lines.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
     nodes, n = counted(again.join(united, "node", "full").select("node", F.coalesce("component", "node").alias("component")), "lines-nodes")
     places = keep(lines.select("node", at).join(bounded(nodes, n), "node").select("component", "at"), "lines-places")
     stays, n = counted(places.groupBy("component").agg(F.min("at").alias("stays")), "lines-stays")
     gone = places.join(bounded(stays, 2 * n), "component").where(F.col("at") != F.col("stays"))
-    return keep(gone.groupBy("at.doc_key").agg(F.collect_set("at.line").alias("lines")), "lines-dropped"), links
+    dropped = keep(gone.groupBy("at.doc_key").agg(F.collect_set("at.line").alias("lines")), "lines-dropped")
+    discard(lines, nodes, places, stays, united)
+    release(docs.sparkSession)
+    return dropped, links
+
+
+def _cut(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    """The texts without the lines at the places that go; null where none goes."""
+
+    def of(text, lines):
+        if lines is None:
+            return None
+        out = set(lines.tolist())
+        return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in out)
+
+    return pd.Series([of(t, g) for t, g in zip(texts, gone, strict=True)], dtype="object")
 
 
 def deduped(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -164,8 +263,8 @@ def deduped(docs: DataFrame) -> tuple[DataFrame, str]:
     each = dropped.select(F.col("doc_key").alias(key), F.col("lines").alias(gone))
     docs_, lines_ = dropped.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()
     joined = docs.withColumn(key, doc_key()).join(bounded(each, docs_ + lines_ // 4), key, "left")
-    stay = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i))
-    out = joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")))
+    cut = F.pandas_udf(_cut, "string")(F.when(F.col(gone).isNotNull(), F.col("text")), F.col(gone))
+    out = joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns, gone), gone

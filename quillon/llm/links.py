@@ -1,14 +1,17 @@
-"""Linking similar sets: candidates of tensored bands, exact verification, distributed union-find.
+"""Linking similar sets: candidates of banded keys, exact verification, distributed union-find.
 
 Nodes are distinct sets. Within a bucket (the nodes of one band table's key) no pairs are listed: every node is held against the
-bucket's hub, the node that shares most buckets, and what is similar is united. What is then left apart from its hub is looked at
-more closely. In a bucket of at most FEW nodes it is held against those of other components, where sizes and what is shared with
-the hub leave it possible that the threshold is reached. A larger bucket has a core, the items that more than half of its nodes
-have. A pair can reach the threshold only if both have enough of the core by itself (such pairs are verified if they could join
-two components), or if the two share items beyond the core, and then also one of the rarest of these items of each. So the
-bucket falls apart into smaller ones, one for each such item and of half its size at most, and these are treated alike until no
-bucket holds two components. No pair that meets in a table is lost, and a group of n near copies, or of n sets that share one
-large part and nothing else, costs about n comparisons.
+bucket's hub, the node that shares most buckets, and what is similar is united. Buckets of one hub are one group from then on.
+
+What is left apart from its hub is looked at more closely, once for each hub. A node differs from the hub by the items that
+either has alone. Sets x, y are similar enough if they differ in at most (1 - t) / (1 + t) of the sum of their sizes; as they differ
+where just one of them differs from the hub, a node that is apart from its hub is similar to another node of the group only if
+both differ from the hub in common items, and then also in one of the rarest of these of each. In a group of at most FEW nodes
+those that are apart are held against the others, where the counts leave it possible. A larger group falls apart into one for each
+rare item that nodes of two components, one of them apart, both differ in. Where at most FEW_RARE nodes meet, pairs are verified that
+can have enough in common behind that item; larger groups get a hub of their own, the next in one order of all nodes, and are treated
+alike. No pair that meets in a bucket is lost, and a group of n near copies, or of n sets that share one large part and nothing
+else, costs about n comparisons.
 """
 
 from __future__ import annotations
@@ -19,12 +22,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import discard, keep, release
 
 #: Rows of two or three numbers up to which a side of a join is broadcast; beyond, it is shuffled.
 BROADCAST_ROWS = 1_000_000
-#: Nodes of a bucket up to which those that are apart from its hub are held against the others.
-FEW = 32
+#: Nodes of a hub's group, and of a group by a rare item, up to which those that are apart are held against the others. The latter pairs are few: places tell most that can't be similar.
+FEW, FEW_RARE = 32, 512
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -39,10 +42,10 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
 
 @dataclass(frozen=True)
 class Form:
-    """How the sets of a table node, items are held: what two of them share, as a struct both, n_left, n_right of longs, and their items, as array<long>."""
+    """How the sets of a table node, items are held: what two of them share, as a struct both, n_left, n_right of longs, and the items that one of two has alone, as array<long>."""
 
     compare: Callable[[Column, Column], Column]
-    items: Callable[[Column], Column]
+    differ: Callable[[Column, Column], Column]
 
 
 def _size(column: Column) -> Column:
@@ -52,7 +55,7 @@ def _size(column: Column) -> Column:
 #: Sets as arrays of distinct 64-bit numbers.
 ARRAYS = Form(
     lambda l, r: F.struct(_size(F.array_intersect(l, r)).alias("both"), _size(l).alias("n_left"), _size(r).alias("n_right")),
-    lambda items: items,
+    lambda l, r: F.concat(F.array_except(l, r), F.array_except(r, l)),
 )
 
 
@@ -63,27 +66,21 @@ def _shared(nodes: DataFrame, side: str, name: str) -> tuple[DataFrame, int]:
     return counted(rows.join(bounded(keys, n), "key").groupBy("node").agg(F.collect_set("key").alias(side)), f"{name}-{side}")
 
 
-def distinct_buckets(rows: DataFrame, name: str, wanted=None) -> DataFrame:
-    """bucket, node of rows (bucket, node, ...) with two nodes or more; buckets of the same nodes are one. wanted: a further test of a bucket, on aggregates."""
-    test = F.col("n") > 1
-    extra = []
-    if wanted is not None:
-        extra, test = [wanted.alias("_wanted")], test & F.col("_wanted")
-    summed = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), *extra).where(test)
-    chosen, n = counted(summed.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), f"{name}-chosen")
-    return keep(rows.select("bucket", "node").join(bounded(chosen, n), "bucket"), f"{name}-buckets")
+def distinct_buckets(rows: DataFrame, name: str, same: Column | None = None, n: Column | None = None, wanted: Column | None = None) -> DataFrame:
+    """rows (bucket, node, ...; a node once in a bucket) with n, by default how many nodes the bucket has, of buckets of two nodes or more; of equal buckets one stays.
 
-
-def banded(nodes: DataFrame, name: str) -> DataFrame:
-    """bucket, node: of each key of plain bands that two nodes or more have, its nodes. nodes: node long, keys array<long>; a node may be repeated."""
-    rows = nodes.select("node", F.explode("keys").alias("bucket"))
-    mark = F.shiftright("node", 20)  # 44 bits tell two nodes of a bucket apart, and compress better
-    keys, n = counted(rows.groupBy("bucket").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low <> high").select("bucket"), f"{name}-keys")
-    return distinct_buckets(keep(rows.join(bounded(keys, n), "bucket").select("bucket", "node").distinct(), f"{name}-bands"), name)
+    same: a hash of what equal buckets have in common of each row, by default of the node. n, wanted: aggregates of a bucket, the second a further test of it."""
+    same = F.xxhash64("node") if same is None else same
+    members = F.count(F.lit(1))
+    summed = rows.groupBy("bucket").agg(members.alias("members"), (members if n is None else n).alias("n"), F.bit_xor(same).alias("x"), F.bit_xor(F.xxhash64(same, F.lit(1))).alias("y"), (F.lit(True) if wanted is None else wanted).alias("_wanted"))
+    chosen, count = counted(summed.where("members > 1 and _wanted").groupBy("members", "x", "y").agg(F.min(F.struct("bucket", "n")).alias("b")).select("b.*"), f"{name}-chosen")
+    found = keep(rows.join(bounded(chosen, count), "bucket"), f"{name}-buckets")
+    discard(chosen)
+    return found
 
 
 def tensored(nodes: DataFrame, name: str) -> DataFrame:
-    """bucket, node: of each key of tensored bands that two nodes or more have, its nodes.
+    """bucket, node, n: of each key of tensored bands that two nodes or more have, its nodes, and how many these are.
 
     nodes: node long, a and b array<long>, the keys of the two collections; a node may be repeated."""
     a, n = _shared(nodes.select("node", "a"), "a", name)
@@ -93,14 +90,11 @@ def tensored(nodes: DataFrame, name: str) -> DataFrame:
         .select("node", F.explode("a").alias("ka"), "b").select("node", "ka", F.explode("b").alias("kb"))
         .select("node", F.xxhash64("ka", "kb").alias("bucket"))
     )
-    return distinct_buckets(keep(tables, f"{name}-tables"), name)
-
-
-def hubs(found: DataFrame, name: str) -> DataFrame:
-    """bucket, hub, weight: the node of a bucket whose buckets are the most and largest, and how large; ties to the least."""
-    sizes = keep(found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), f"{name}-sizes")
-    weights = keep(found.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("weight")), f"{name}-weights")
-    return keep(found.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("best")).select("bucket", (-F.col("best.minus")).alias("hub"), "best.weight"), f"{name}-hubs")
+    tables = keep(tables, f"{name}-tables")
+    found = distinct_buckets(tables, name)
+    discard(a, b, tables)
+    release(nodes.sparkSession)
+    return found
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, form: Form = ARRAYS) -> DataFrame:
@@ -116,132 +110,156 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, form: Form = ARRAY
 def components(edges: DataFrame, name: str) -> DataFrame:
     """node, component (its least node) of all nodes of the edges left, right.
 
-    Each round, a node takes the least label of its neighbours, then the label of its label; every round is kept in the shared folder."""
+    Each round, a node takes the least label of its neighbours, then the label of its label; every round is kept in the shared folder, and the one before it goes."""
     both = keep(edges.select("left", "right").union(edges.select("right", "left")).toDF("node", "near").distinct(), f"{name}-edges")
     labels = keep(both.groupBy("node").agg(F.least(F.min("near"), F.col("node")).alias("component")), f"{name}-labels")
     while True:
-        found = both.join(labels.toDF("near", "other"), "near").groupBy("node").agg(F.min("other").alias("other"))
+        found = both.join(labels.select(F.col("node").alias("near"), F.col("component").alias("other")), "near").groupBy("node").agg(F.min("other").alias("other"))
         stepped = labels.join(found, "node").select("node", F.col("component").alias("was"), F.least("component", "other").alias("to"))
-        jumped = stepped.join(labels.toDF("to", "further"), "to").select("node", "was", F.least("to", "further").alias("component"))
+        jumped = stepped.join(labels.select(F.col("node").alias("to"), F.col("component").alias("further")), "to").select("node", "was", F.least("to", "further").alias("component"))
         kept = keep(jumped, f"{name}-labels")
-        changed = kept.where("was <> component").limit(1).count()
-        labels = kept.select("node", "component")
-        if not changed:
+        discard(labels)
+        labels = kept
+        if not kept.where("was <> component").limit(1).count():
+            discard(both)
             return labels
 
 
 def linked(found: DataFrame, sets_of: Callable[[DataFrame, int], DataFrame], percent: int, name: str, form: Form = ARRAYS) -> tuple[DataFrame, DataFrame]:
     """(components, links): node, component of each node that is linked with another; left, right of verified links, enough of them to join each component.
 
-    found: bucket, node, of banded or tensored. sets_of: from node, and the number of such rows, to node, items of those nodes. Links join sets with
-    100 * intersection >= percent * union."""
+    found: bucket, node, n, of tensored or distinct_buckets. sets_of: from node, and the number of such rows, to node, items of those nodes. Links join sets
+    with 100 * intersection >= percent * union."""
     wanted, n = counted(found.select("node").distinct(), f"{name}-wanted")
     sets, n_sets = counted(sets_of(wanted, n), f"{name}-sets")
     if n_sets > n:  # rows that repeat an id and its text
         sets = keep(sets.dropDuplicates(["node"]), f"{name}-sets")
-    tested, links, labels, depth = None, None, None, 0
+    weights = keep(found.groupBy("node").agg(F.sum("n").alias("weight")), f"{name}-weights")
+    links, labels = None, None
     while True:
-        rows = found.join(hubs(found, name), "bucket").where("node <> hub")
-        if not depth:  # the tables of a hub are one group
-            rows = rows.select(F.col("hub").alias("bucket"), "hub", "node", "weight").distinct()
-        rows = keep(rows.select("bucket", "hub", "node", "weight"), f"{name}-rows")
-        # A node is held against the weightiest of its hubs first; that leaves little of a large group to the others.
-        best = rows.groupBy("node").agg(F.max(F.struct("weight", (-F.col("hub")).alias("minus"))).alias("best")).select((-F.col("best.minus")).alias("left"), F.col("node").alias("right"))
-        tested, links, labels = _test(best, tested, links, labels, sets, percent, name, form)
-        tested, links, labels = _test(_apart(rows, labels).select(F.col("hub").alias("left"), F.col("node").alias("right")).distinct(), tested, links, labels, sets, percent, name, form)
-        groups = _open_groups(rows, labels, name)
-        if groups is None:
-            return labels, links
-        tested, links, labels = _test(groups.select(F.col("hub").alias("left"), F.col("node").alias("right")).distinct(), tested, links, labels, sets, percent, name, form)
-        shared = tested.select(F.col("left").alias("hub"), F.col("right").alias("node"), "both", F.col("n_right").alias("size"))
-        swapped = tested.select(F.col("right").alias("hub"), F.col("left").alias("node"), "both", F.col("n_left").alias("size"))
-        groups = keep(groups.join(shared.union(swapped).distinct(), ["hub", "node"]), f"{name}-groups")
-        direct = _possible(groups.where(F.col("n") <= FEW), percent, beyond=True)
-        large, n_large = counted(groups.where(F.col("n") > FEW), f"{name}-large")
+        stars = keep(_stars(found, weights), f"{name}-stars")
+        tested = keep(verified(stars.select(F.col("hub").alias("left"), F.col("node").alias("right")).distinct(), sets, percent, form), f"{name}-tested")
+        links, labels = _unite(tested, links, labels, name)
+        groups, n_rows, n_large = _open_groups(stars, tested, labels, name)
+        discard(found, stars, tested)
+        release(sets.sparkSession)
+        if not n_rows:
+            break
+        pairs, n_open = _possible(groups.where(F.col("n") <= FEW), percent), 0
         if n_large:
-            found, cored = _smaller(large, sets, percent, name, form)
-            direct = direct.union(_possible(cored, percent, beyond=False)).distinct()
-        direct, n = counted(direct, f"{name}-direct")
-        if n:
-            tested, links, labels = _test(direct, tested, links, labels, sets, percent, name, form)
-        depth += 1
-        if not n_large or not found.limit(1).count():
-            return labels, links
-
-
-def _possible(groups: DataFrame, percent: int, beyond: bool) -> DataFrame:
-    """left, right: pairs of groups (bucket, node, component, apart, both, size), one of them apart, that could join two components: what each has of the hub or core,
-    and, if beyond, what it has beyond that, are enough for the threshold."""
-    x, y = groups.where("apart").alias("x"), groups.alias("y")
-    most = F.least("x.both", "y.both")
-    if beyond:
-        most += F.least(F.col("x.size") - F.col("x.both"), F.col("y.size") - F.col("y.both"))
-    possible = (
-        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & (~F.col("y.apart") | (F.col("x.node") < F.col("y.node")))
-        & (most * (100 + percent) >= percent * (F.col("x.size") + F.col("y.size")))
-    )
-    return x.join(y, possible).select(F.least("x.node", "y.node").alias("left"), F.greatest("x.node", "y.node").alias("right")).distinct()
-
-
-def _smaller(groups: DataFrame, sets: DataFrame, percent: int, name: str, form: Form) -> tuple[DataFrame, DataFrame]:
-    """(found, cored). found: bucket, node: for each bucket of groups, one bucket for each item beyond its core, of the nodes that have it among the rarest such items.
-    cored: groups, with `both` for what a node has of the core.
-
-    Sets x, y with an intersection of t = percent / 100 of their union share t / (1 + t) of the sum of their sizes at least. What of that the core can't give,
-    r items, they share beyond it: in one order of items, each has one that they share among its first (items beyond the core) - r + 1."""
-    held = keep(groups.drop("both").join(sets, "node").withColumn("items", form.items(F.col("items"))), f"{name}-held")
-    each = held.select("bucket", "node", "n", F.explode("items").alias("item"))
-    times = each.groupBy("bucket", "item").agg(F.count(F.lit(1)).alias("times"), F.max("n").alias("n")).where("times > 1")
-    times = keep(times.select("bucket", "item", "times", (2 * F.col("times") > F.col("n")).alias("core")), f"{name}-times")
-    cores = times.where("core").groupBy("bucket").agg(F.collect_list("item").alias("core"))
-    # Items that one node alone has are the rarest; only how many they are is needed, so no row is made for them.
-    rest = each.join(times.where("not core"), ["bucket", "item"]).groupBy("bucket", "node").agg(F.array_sort(F.collect_list(F.struct("times", "item"))).alias("rest"))
-    least = groups.groupBy("bucket").agg(F.min("size").alias("smallest"))
-    cored = held.join(cores, "bucket", "left").withColumn("both", F.coalesce(F.size(F.array_intersect("items", "core")), F.lit(0)).cast("long")).drop("items", "core")
-    cored = cored.join(least, "bucket").join(rest, ["bucket", "node"], "left").withColumn("both", F.greatest("both", F.lit(0)))
-    n_rest = F.when(F.col("rest").isNull(), 0).otherwise(F.size("rest"))
-    beyond = F.col("size") - F.col("both")
-    other = F.greatest(F.col("smallest"), F.ceil(F.col("size") * percent / 100))
-    needed = F.ceil(percent * (F.col("size") + other) / (100 + percent)) - F.col("both")
-    count = beyond - F.greatest(F.lit(1), needed) + 1 - (beyond - n_rest)
-    cored = keep(cored.withColumn("rest", F.slice("rest", F.lit(1), F.greatest(F.lit(0), count).cast("int"))), f"{name}-cored")
-    rare = cored.select("bucket", "node", "component", "apart", F.explode("rest").alias("i"))
-    rows = rare.select(F.xxhash64("bucket", "i.item").alias("bucket"), "node", "component", "apart")
-    found = distinct_buckets(rows, name, F.max("apart") & (F.min("component") != F.max("component")))
-    return found, cored.drop("rest", "smallest")
+            rare = _smaller(groups.where(F.col("n") > FEW), sets, percent, name, form)
+            pairs = pairs.union(_possible(rare.where(F.col("n") <= FEW_RARE), percent)).distinct()
+            found, n_open = counted(rare.where(F.col("n") > FEW_RARE).select("bucket", "node", "n"), f"{name}-found")
+        pairs, n_pairs = counted(pairs, f"{name}-pairs")
+        if n_pairs:
+            tested = keep(verified(pairs, sets, percent, form), f"{name}-tested")
+            links, labels = _unite(tested, links, labels, name)
+            discard(tested)
+        discard(groups, pairs, *([rare] if n_large else []))
+        release(sets.sparkSession)
+        if not n_open:
+            break
+    discard(wanted, sets, weights)
+    return labels, links
+
+
+def _stars(found: DataFrame, weights: DataFrame) -> DataFrame:
+    """bucket, hub, node: the nodes of each bucket beside its hub, the one of the greatest weight, ties to the least; buckets of a hub are one. A node is below its hub in that order."""
+    hubs = found.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("best")).select("bucket", (-F.col("best.minus")).alias("hub"))
+    return found.select("bucket", "node").join(hubs, "bucket").where("node <> hub").select(F.col("hub").alias("bucket"), "hub", "node").distinct()
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, columns: dict[str, str]) -> DataFrame:
     """rows with the components of nodes in some columns, under the names given; a node that is linked with none is its own."""
-    n = labels.count()
     for column, name in columns.items():
-        rows = rows.join(bounded(labels.select(F.col("node").alias(column), F.col("component").alias(name)), n), column, "left").withColumn(name, F.coalesce(name, column))
+        rows = rows.join(labels.select(F.col("node").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
     return rows
 
 
-def _apart(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    return _labelled(rows, labels, {"hub": "_h", "node": "_n"}).where("_h <> _n").select(*rows.columns)
+def _unite(tested: DataFrame, links: DataFrame | None, labels: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame]:
+    """links and labels with those that were tested. Links within a component are not needed and left out; union-find is over components, not nodes."""
+    more = tested.where("linked").select("left", "right")
+    if labels is None:
+        more = keep(more, f"{name}-links")
+        return more, components(more, name)
+    more, n = counted(_labelled(more, labels, {"left": "_l", "right": "_r"}).where("_l <> _r"), f"{name}-links")
+    links = links.union(more.select("left", "right"))
+    if n:
+        joined = components(more.select(F.col("_l").alias("left"), F.col("_r").alias("right")), name)  # over labels; a node that had none is its own
+        moved = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        added = joined.join(labels.select("node"), "node", "left_anti").select("node", "component")
+        before, labels = labels, keep(moved.union(added), f"{name}-labels")
+        discard(before, joined)
+    return links, labels
+
+
+def _open_groups(stars: DataFrame, tested: DataFrame, labels: DataFrame, name: str) -> tuple[DataFrame, int, int]:
+    """stars with component, apart (from the hub's), both, size, hub_size, beside (false), behind (how many items differ) and n (the group's nodes without the hub), of groups where, beside the hub, there are two
+    components or more, one of them apart; how many rows these are, and how many of them in groups of more than FEW."""
+    known = _labelled(stars, labels, {"node": "component", "hub": "_hub"}).withColumn("apart", F.col("component") != F.col("_hub")).drop("_hub")
+    known = keep(known, f"{name}-known")
+    open_, n = counted(known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("apart"), F.min("component").alias("low"), F.max("component").alias("high")).where("apart and low <> high").select("bucket", "n"), f"{name}-open")
+    if not n:
+        return known, 0, 0
+    sizes = tested.select(F.col("left").alias("hub"), F.col("right").alias("node"), "both", F.col("n_left").alias("hub_size"), F.col("n_right").alias("size"))
+    groups = known.join(bounded(open_, n), "bucket").join(sizes, ["hub", "node"]).withColumn("beside", F.lit(False)).withColumn("behind", F.col("size") + F.col("hub_size") - 2 * F.col("both"))
+    groups = keep(groups, f"{name}-groups")
+    rows, large = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("n") > FEW).cast("long")), F.lit(0))).first()
+    discard(known, open_)
+    return groups, rows, large
 
 
-def _test(pairs: DataFrame, tested: DataFrame | None, links: DataFrame | None, labels: DataFrame | None, sets: DataFrame, percent: int, name: str, form: Form):
-    """tested, links and labels with the pairs that were not tested yet. Links within a component are not needed and left out."""
-    new = pairs if tested is None else pairs.join(tested.select("left", "right"), ["left", "right"], "left_anti")
-    new = keep(verified(new, sets, percent, form), f"{name}-tested")
-    tested = new if tested is None else tested.union(new)
-    more = new.where("linked").select("left", "right")
-    if labels is not None:
-        more = _labelled(more, labels, {"left": "_l", "right": "_r"}).where("_l <> _r").select("left", "right")
-    more, n = counted(more, f"{name}-links")
-    links = more if links is None else links.union(more)
-    if n or labels is None:
-        labels = components(links, name)
-    return tested, links, labels
+def _excess(percent: int, of: str = "") -> Column:
+    """What a set adds to 2 * (100 + percent) * r, with r the items in which two sets that are similar enough both differ from the hub, at least."""
+    size, hub_size, both = (F.col(of + c) for c in ("size", "hub_size", "both"))
+    return (100 + percent) * (size + hub_size - 2 * both) - (100 - percent) * size
 
 
-def _open_groups(rows: DataFrame, labels: DataFrame, name: str) -> DataFrame | None:
-    """rows (bucket, hub, node) with component, apart (from the hub's) and n (the bucket's nodes beside the hub), of buckets where, beside the hub, there are two
-    components or more, one of them apart; None if there is none."""
-    known = _labelled(rows, labels, {"node": "component", "hub": "hub_component"}).withColumn("apart", F.col("component") != F.col("hub_component"))
-    known = keep(known.select("bucket", "hub", "node", "component", "apart"), f"{name}-known")
-    open_, n = counted(known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("apart"), F.min("component").alias("low"), F.max("component").alias("high")).where("apart and low <> high").select("bucket", "n"), f"{name}-open")
-    return keep(known.join(bounded(open_, n), "bucket"), f"{name}-opened") if n else None
+def _possible(groups: DataFrame, percent: int) -> DataFrame:
+    """left, right: pairs of groups, one of them apart, that could join two components: what both may have of the hub, and beyond it, is enough for the threshold, and so are
+    the items behind the one that they meet in. In groups that are beside, one is apart and one isn't."""
+    x, y = groups.where("apart").alias("x"), groups.alias("y")
+    most = F.least("x.both", "y.both") + F.least(F.col("x.size") - F.col("x.both"), F.col("y.size") - F.col("y.both"))
+    possible = (
+        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & (~F.col("y.apart") | (F.col("x.node") < F.col("y.node")) & ~F.col("x.beside"))
+        & (most * (100 + percent) >= percent * (F.col("x.size") + F.col("y.size")))
+        & (2 * (100 + percent) * F.least("x.behind", "y.behind") >= _excess(percent, "x.") + _excess(percent, "y."))
+    )
+    return x.join(y, possible).select(F.least("x.node", "y.node").alias("left"), F.greatest("x.node", "y.node").alias("right")).distinct()
+
+
+def _smaller(groups: DataFrame, sets: DataFrame, percent: int, name: str, form: Form) -> DataFrame:
+    """groups, each as smaller ones, for each item in which its nodes differ from the hub, of the nodes that have it among the rarest such items: one of nodes that are
+    apart, for pairs of these, and one, called beside, for pairs of a node that is apart and one that isn't. n is the number of partners of a node, the fewer;
+    behind, how many items, from that one on, a node may share with another.
+
+    With d the items in which a set differs from the hub, and s its size, sets x, y that are similar enough share r items of these at least,
+    2 * (100 + percent) * r >= (100 + percent) * (d(x) + d(y)) - (100 - percent) * (s(x) + s(y)), and one at least if x is apart. In one order of items, both
+    have one that they share among the first d - r + 1. Items that can't join two components come first in that order: only how many they are is needed."""
+    excess = _excess(percent)
+    least = groups.groupBy("bucket").agg(F.min(F.when(F.col("apart"), excess)).alias("of_apart"), F.min(F.when(~F.col("apart"), excess)).alias("of_near"))
+    hub_sets = sets.select(F.col("node").alias("hub"), F.col("items").alias("hub_items"))
+    held = groups.drop("n", "beside", "behind").join(sets, "node").join(hub_sets, "hub").withColumn("items", form.differ(F.col("hub_items"), F.col("items"))).drop("hub_items")
+    held = keep(held.join(least, "bucket"), f"{name}-held")
+    kinds = F.when(F.col("apart") & F.col("of_near").isNotNull(), F.array(F.lit(False), F.lit(True))).otherwise(F.array(~F.col("apart")))
+    kinds = held.withColumn("beside", F.explode(kinds)).withColumn("row", F.xxhash64("bucket", "beside", "node"))
+    each = kinds.select("row", "component", "apart", "beside", "bucket", F.explode("items").alias("item")).withColumn("key", F.xxhash64("bucket", "beside", "item")).drop("bucket", "item")
+    times = each.groupBy("key", "beside").agg(F.count(F.lit(1)).alias("times"), F.min("apart").alias("all_apart"), F.max("apart").alias("apart"), F.min("component").alias("low"), F.max("component").alias("high"))
+    times, n_times = counted(times.where("apart and low <> high and beside <> all_apart").select("key", "times"), f"{name}-times")
+    rest = each.select("key", "row").join(bounded(times, n_times), "key").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("times", "key"))).alias("rest"))
+    other = F.when(F.col("apart") & F.col("beside"), F.col("of_near")).otherwise(F.col("of_apart"))
+    needed = F.ceil((excess + other) / (2 * (100 + percent)))
+    count = F.size("rest") - F.greatest(F.lit(1), needed) + 1  # of those that come first there are size(items) - size(rest)
+    first = F.slice("rest", F.lit(1), F.greatest(F.lit(0), count).cast("int"))
+    rare = kinds.drop("items").join(rest, "row")
+    rare = rare.select(*[c for c in rare.columns if c not in ("bucket", "row", "of_apart", "of_near", "rest")], _size(F.col("rest")).alias("n_rest"), F.posexplode(first).alias("at", "rest"))
+    rare = rare.withColumn("behind", F.col("n_rest") - F.col("at")).withColumn("bucket", F.col("rest.key")).drop("n_rest", "at", "rest")
+    rare = keep(rare, f"{name}-rare")
+    members, apart = F.count(F.lit(1)), F.sum(F.col("apart").cast("long"))
+    found = distinct_buckets(
+        rare, name, F.xxhash64("node", "apart", "beside"), F.when(F.max("beside"), F.least(apart, members - apart)).otherwise(members),
+        F.max("apart") & (F.min("component") != F.max("component")) & (F.max("beside") != F.min("apart")),
+    )
+    discard(held, times, rare)
+    release(sets.sparkSession)
+    return found

@@ -24,8 +24,8 @@ def word_list(text: str | None) -> list[bytes]:
 
 
 def doc_key():
-    """Tells rows by id and text."""
-    return F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
+    """Tells rows by id and text, a null from any value."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("string"), F.col("text").isNull(), F.col("text"))
 
 
 def signed(docs: DataFrame) -> DataFrame:
