@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,6 +32,9 @@ UNWANTED_WORDS = frozenset(
     "navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion promoted related recommended respond replies reply share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription toolbar widget widgets".split()
 )
+#: Of these, what marks an article as a reader's comment; and words beside which `header` names the article's own heading.
+COMMENT_WORDS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
+CONTENT_WORDS = frozenset("article content entry post story".split())
 #: Elements that are paragraphs themselves: what they hold counts for the element around them.
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th pre blockquote figcaption caption summary address".split())
 #: An open element of the first kind is closed by the start of any of the second, within the third.
@@ -46,16 +50,22 @@ CLOSES = {
 #: Shares of a block's points for the elements around it, from the inside, and the share of the best element's points from which a sibling is kept.
 SHARES, SIBLING = (1.0, 0.5, 1 / 3, 0.25), 0.2
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.DOTALL)
+#: A quote that is never closed doesn't hide the end of its tag.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?=>|\Z)|[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE) for tag in RAW}
 
 
 class Element:
-    __slots__ = ("tag", "parent", "unwanted", "points", "place")
+    """up: the nearest block, or the page, around it; inside: whether it or a block around it is kept, once that is known."""
+
+    __slots__ = ("tag", "parent", "unwanted", "points", "place", "block", "up", "in_article", "inside")
 
     def __init__(self, tag: str, parent: Element | None, unwanted: bool, place: int):
-        self.tag, self.parent, self.unwanted, self.points, self.place = tag, parent, unwanted, 0.0, place
+        self.tag, self.parent, self.unwanted, self.points, self.place, self.inside = tag, parent, unwanted, 0.0, place, None
+        self.up = parent.block if parent else None
+        self.block = self if tag in BLOCK or parent is None else self.up
+        self.in_article = tag == "article" or parent is not None and parent.in_article
 
 
 class Block:
@@ -65,20 +75,29 @@ class Block:
         self.owner, self.text, self.linked = owner, text, linked
 
 
-def unwanted(tag: str, attrs: str) -> bool:
-    """By the element's name, its role, or a word of its class or id."""
+def unwanted(tag: str, attrs: str, in_article: bool = False) -> bool:
+    """By the element's name, its role, or a word of its class or id. in_article: whether it stands in an article.
+
+    The page's own frame and an article are kept whatever they are called, but for an article within another or one whose class or id is a comment's."""
     if tag in UNWANTED_TAGS:
         return True
-    if tag in ("html", "body", "main", "article") or not attrs.strip():
+    if tag in ("html", "body", "main") or not attrs.strip():
         return False
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
+        if tag == "article" and not in_article:
+            if name in ("class", "id") and any(re.split(r"[^a-z]", w)[0] in COMMENT_WORDS for w in value.split()):
+                return True
+            continue
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in UNWANTED_ROLES:
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name in ("class", "id") and any(w in UNWANTED_WORDS for w in re.findall(r"[a-z]+", value)):
-            return True
+        if name in ("class", "id"):
+            for each in value.split():
+                words = set(re.findall(r"[a-z]+", each))
+                if words & UNWANTED_WORDS - ({"header"} if words & CONTENT_WORDS else set()):
+                    return True
     return False
 
 
@@ -86,16 +105,14 @@ def parse(page: str) -> list[Block]:
     """The blocks of text in order, without what is unwanted. White space in them is one space; character references are decoded once."""
     root = Element("#page", None, False, 0)
     open_, blocks, made = [root], [], 1
+    count: Counter = Counter()  # of open elements, by tag
     parts: list[str] = []
     linked = links = 0
 
-    def owner() -> Element:
-        return next(e for e in reversed(open_) if e.tag in BLOCK or e is root)
-
     def flush() -> None:
         nonlocal linked
         if parts and (text := " ".join("".join(parts).split())):
-            blocks.append(Block(owner(), text, min(linked, len(text))))
+            blocks.append(Block(open_[-1].block, text, min(linked, len(text))))
         parts.clear()
         linked = 0
 
@@ -103,7 +120,9 @@ def parse(page: str) -> list[Block]:
         nonlocal links
         if any(e.tag in BLOCK for e in open_[k:]):
             flush()
-        links -= sum(e.tag == "a" for e in open_[k:])
+        for e in open_[k:]:
+            links -= e.tag == "a"
+            count[e.tag] -= 1
         del open_[k:]
 
     at, size = 0, len(page)
@@ -122,7 +141,7 @@ def parse(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if m["end"]:
-            if tag == "p" and not any(e.tag == "p" for e in open_) or tag == "br":
+            if not count[tag]:
                 continue
             for k in range(len(open_) - 1, 0, -1):
                 if open_[k].tag == tag:
@@ -154,18 +173,17 @@ def parse(page: str) -> list[Block]:
         if tag in VOID:
             continue
         attrs = m["attrs"]
-        element = Element(tag, open_[-1], open_[-1].unwanted or unwanted(tag, attrs), made)
+        element = Element(tag, open_[-1], open_[-1].unwanted or unwanted(tag, attrs, open_[-1].in_article), made)
         made += 1
         if tag in RAW:  # all of them are unwanted, or the title
             end = RAW_END[tag].search(page, at)
             at = end.end() if end else size
             continue
-        if element.unwanted and not open_[-1].unwanted and tag not in BLOCK:
-            pass  # inline: what stands before and after it is one block
         if tag == "a":
             links += 1
         if not attrs.endswith("/") or tag in BLOCK or tag == "a":
             open_.append(element)
+            count[tag] += 1
     flush()
     return blocks
 
@@ -177,23 +195,36 @@ def points(block: Block) -> float:
 
 
 def around(block: Block) -> list[Element]:
-    """The elements that a block stands in, from the inside; a paragraph's own element is not one."""
-    e = block.owner.parent if block.owner.tag in PARAGRAPHS and block.owner.parent else block.owner
+    """The elements that a block passes points to, from the inside; a paragraph's own element is not one."""
+    e = block.owner.up if block.owner.tag in PARAGRAPHS and block.owner.up else block.owner
     out = []
-    while e is not None:
-        if e.tag in BLOCK or e.parent is None:
-            out.append(e)
-        e = e.parent
+    while e is not None and len(out) < len(SHARES):
+        out.append(e)
+        e = e.up
     return out
 
 
+def is_inside(e: Element | None, kept: set[int]) -> bool:
+    """Whether e or a block around it is kept. What is found out is noted, so that each element is looked at once, however deep a page is."""
+    path = []
+    while e is not None and e.inside is None:
+        path.append(e)
+        if e.place in kept:
+            e.inside = True
+            break
+        e = e.up
+    found = e is not None and bool(e.inside)
+    for x in path:
+        x.inside = found
+    return found
+
+
 def extract(page: str | None) -> str:
     """The article's blocks joined by two line ends; empty if a page has none."""
     blocks = parse(page or "")
-    chains = [around(b) for b in blocks]
     scored: dict[int, Element] = {}
-    for block, chain in zip(blocks, chains, strict=True):
-        for share, e in zip(SHARES, chain, strict=False):
+    for block in blocks:
+        for share, e in zip(SHARES, around(block), strict=False):
             e.points += share * points(block)
             scored[e.place] = e
     if not scored:
@@ -204,18 +235,16 @@ def extract(page: str | None) -> str:
         if e.tag in ("article", "main"):
             best = e
             break
-        e = e.parent
-    kept = {best.place}
-    if best.tag not in ("article", "main") and best.parent is not None:
+        e = e.up
+    kept, loose = {best.place}, None
+    if best.tag not in ("article", "main") and best.up is not None:
         kept |= {e.place for e in scored.values() if e.parent is best.parent and e.points >= SIBLING * best.points}
         loose = best.parent.place
-    else:
-        loose = None
     out = []
-    for block, chain in zip(blocks, chains, strict=True):
-        inside = any(e.place in kept for e in chain)
-        beside = loose is not None and chain[0].place == loose and block.linked < len(block.text) / 3  # a paragraph beside the best element
-        if inside or beside:
+    for block in blocks:
+        first = around(block)[0]
+        beside = loose is not None and first.place == loose and block.linked < len(block.text) / 3  # a paragraph beside the best element
+        if is_inside(first, kept) or beside:
             out.append(block.text)
     return "\n\n".join(out)
 
