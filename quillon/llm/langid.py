@@ -9,13 +9,13 @@ number of times that each piece is used.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +27,9 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FIT_DOCS, FIT_WORDS = 400, 40_000
 ROUNDS, SMOOTHING, LONGEST = 3, 0.05, 30
 UNKNOWN = 1e-7
-WORD = re.compile(r"[^\W\d_]+")
+#: A letter and what follows of letters and combining marks; numerals that aren't digits are no letters.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+OF_LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 START = "▁"
 
 
@@ -170,7 +172,7 @@ def _long_word(word: str, model: Model, widest: int) -> np.ndarray:
 def fit(counts: dict[str, Counter], vocabulary: list[str]) -> Model:
     """counts: words of each language with how often they occur."""
     langs = sorted(counts)
-    letters = [v for v in dict.fromkeys(x.lower() for x in vocabulary) if WORD.fullmatch(v.removeprefix(START) or "a")]
+    letters = [v for v in dict.fromkeys(x.lower() for x in vocabulary) if OF_LETTERS.fullmatch(v.removeprefix(START) or "a")]
     ids = {v: i for i, v in enumerate(letters)}
     known = Pieces(ids)
     model = Model(langs, ids, np.zeros((len(ids) + 1, len(langs))))
