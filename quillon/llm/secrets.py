@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bounded, table
+from .common import Bounded, discard, keep, table
 
 #: The patterns of the contract, and the fewest characters of group 2 (assign) or of the match.
 BASE = {
@@ -35,8 +35,8 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+")
 LEAST = min(least for *_, least in BASE.values())
 SYMBOLS = 66
 
-#: Documents whose credentials and tokens are looked at for the fit, about, and strings that an automaton learns from at most.
-FIT_DOCS, FIT_STRINGS = 20_000, 400
+#: Documents whose credentials and tokens are looked at for the fit, about, strings that an automaton learns from at most, and their most characters.
+FIT_DOCS, FIT_STRINGS, FIT_LENGTH = 20_000, 400, 256
 ALPHA, UNSEEN, MARGIN = 0.05, 1e-3, 6.0
 
 
@@ -154,17 +154,33 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return [(a, b, kind, what) for a, _, b, kind, what in sorted(found)]
 
 
+def _tokens(text: str, base: list[tuple[int, int, str, str]], least: int) -> Iterator[tuple[int, int, str, bool, bool]]:
+    """start, end, token of `least` characters and more, whether a base span covers it whole, and whether one touches it. Both lists are in order: one pass."""
+    covers, before, last, touching = 0, 0, 0, 0  # base spans that begin by the token's start, and by its end; the furthest ends of them
+    for m in TOKEN.finditer(text):
+        start, end = m.span()
+        if end - start < least:
+            continue
+        while covers < len(base) and base[covers][0] <= start:
+            last = max(last, base[covers][1])
+            covers += 1
+        while before < len(base) and base[before][0] < end:
+            touching = max(touching, base[before][1])
+            before += 1
+        yield start, end, m[0], last >= end, touching > start
+
+
 def tokens(text: str, base: list[tuple[int, int, str, str]], least: int = LEAST) -> Iterator[tuple[int, int, str]]:
     """The tokens to score: those of `least` characters and more that no base span covers whole."""
-    for m in TOKEN.finditer(text):
-        if m.end() - m.start() >= least and not any(a <= m.start() and m.end() <= b for a, b, *_ in base):
-            yield m.start(), m.end(), m[0]
+    for a, b, what, covered, _ in _tokens(text, base, least):
+        if not covered:
+            yield a, b, what
 
 
 def ordinary(text: str, base: list[tuple[int, int, str, str]]) -> Iterator[str]:
     """The tokens that no base span touches, to learn from."""
-    for a, b, what in tokens(text, base):
-        if not any(x < b and a < y for x, y, *_ in base):
+    for _, _, what, _, touched in _tokens(text, base, LEAST):
+        if not touched:
             yield what
 
 
@@ -193,12 +209,13 @@ def fit(docs: DataFrame) -> Model:
         def of(text):
             base = base_spans(text or "")
             found = {(kind, what) for *_, kind, what in base} | {("", what) for what in ordinary(text or "", base)}
-            return [{"kind": k, "what": w} for k, w in sorted(found) if len(w) <= 256]
+            return [{"kind": k, "what": w} for k, w in sorted(found) if len(w) <= FIT_LENGTH]
 
         return pd.Series([of(t) for t in texts])
 
-    found = part.select(F.explode(strings("text")).alias("s")).select("s.kind", "s.what").distinct()
+    found = keep(part.select(F.explode(strings("text")).alias("s")).select("s.kind", "s.what").distinct(), "secrets-strings")
     rows = _least(found)
+    discard(found)
     by = {kind: [what for k, what in rows if k == kind] for kind in ("", *BASE)}
     formats = {kind: infer(by[kind]) for kind in BASE}
     return Model({k: a for k, a in formats.items() if a}, infer(by[""]), min((len(w) for kind in BASE for w in by[kind]), default=LEAST))
