@@ -8,6 +8,7 @@ deflate data of strips or tiles, undoes the horizontal predictor, and gives one
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +30,9 @@ RAW, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 CLEAR, END, FIRST = 256, 257, 258
 
-#: Of the files that op8 writes: samples in a row, rows of a page and of a strip at most.
-PAYLOAD_WIDTH, PAGE_ROWS, STRIP_ROWS = 64, 1024, 128
+#: Of the files that op8 writes: samples in a row, rows of a page and of a strip at most, side of a tile, compressions.
+PAYLOAD_WIDTH, PAGE_ROWS, STRIP_ROWS, TILE_SIDE = 64, 1024, 128, 64
+COMPRESSIONS = (RAW, PACKBITS, LZW, DEFLATE)
 
 
 class BadTiff(ValueError):
@@ -311,31 +314,81 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw.ljust(max(1, -(-len(raw) // PAYLOAD_WIDTH)) * PAYLOAD_WIDTH, b"\0"), len(raw)
 
 
+def form_of(payload: bytes) -> tuple[int, int, int]:
+    """Compression, predictor and side of a tile (0: strips) that a payload is stored with: its checksum chooses, so that all are in use and equal payloads are stored alike."""
+    draw = zlib.crc32(payload)
+    return COMPRESSIONS[draw % 4], 1 + draw // 4 % 2, TILE_SIDE * (draw // 8 % 2)
+
+
 def stored(payload: bytes) -> bytes:
     """The payload as a file of pages of PAYLOAD_WIDTH samples a row."""
     image = np.frombuffer(payload, np.uint8).reshape(-1, PAYLOAD_WIDTH)
-    return write_tiff([image[y : y + PAGE_ROWS] for y in range(0, len(image), PAGE_ROWS)])
+    compression, predictor, tile = form_of(payload)
+    return write_tiff([image[y : y + PAGE_ROWS] for y in range(0, len(image), PAGE_ROWS)], compression, predictor, tile=tile)
 
 
-def digest(text: str | None) -> tuple:
-    payload, n = payload_of(text)
-    file = stored(payload)
-    found = read_tiff(file)
-    back = b"".join(p.samples.tobytes() for p in found)
-    samples = np.frombuffer(back, np.uint8)
-    feature = f"pages={len(found)};size={found[0].width}x{sum(p.height for p in found)};mean={samples.mean():.4f};std={samples.std():.4f};levels={len(np.unique(samples))}"
-    return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(file), hashlib.sha256(file).hexdigest(), feature
+DIGEST = pa.schema([(name, kind) for kinds, kind in (("doc_id n_bytes payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32 media_bytes", pa.int64()), ("media_sha256 feature", pa.string())) for name in kinds.split()])
+DIGEST_SQL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-DIGEST = ["n_bytes long", "payload_bytes long", "payload_sha256 string", "tail_crc32 long", "media_bytes long", "media_sha256 string", "feature string"]
+class Digest:
+    """Of one file, page after page: what op8 returns. No more than a page is held."""
 
+    def __init__(self, doc_id: int | None, n_bytes: int, media_bytes: int, media_sha256: str):
+        self.given = doc_id, n_bytes, media_bytes, media_sha256
+        self.pages, self.height, self.width, self.compressions = 0, 0, 0, []
+        self.sha, self.tail, self.levels = hashlib.sha256(), b"", np.zeros(256, np.int64)
+
+    def add(self, width: int, height: int, compression: int, samples: bytes) -> None:
+        self.pages, self.width, self.height = self.pages + 1, width, self.height + height
+        self.compressions += [compression] if compression not in self.compressions else []
+        self.sha.update(samples)
+        self.tail = (self.tail + samples[-PAYLOAD_WIDTH:])[-PAYLOAD_WIDTH:]
+        self.levels += np.bincount(np.frombuffer(samples, np.uint8), minlength=256)
+
+    def row(self) -> tuple:
+        doc_id, n_bytes, media_bytes, media_sha256 = self.given
+        n, level = int(self.levels.sum()), np.arange(256)
+        mean = float(self.levels @ level) / n
+        std = math.sqrt(max(0.0, float(self.levels @ (level * level)) / n - mean * mean))
+        feature = f"pages={self.pages};size={self.width}x{self.height};compression={','.join(map(str, self.compressions))};mean={mean:.4f};std={std:.4f};levels={int((self.levels > 0).sum())}"
+        return doc_id, n_bytes, n, self.sha.hexdigest(), zlib.crc32(self.tail), media_bytes, media_sha256, feature
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of pages() -> a row a file. The pages of a file follow each other in one partition; each file has a page 0."""
+    open_: Digest | None = None
+    for batch in batches:
+        found = []
+        for r in batch.to_pylist():
+            if r["page"] == 0:
+                found += [open_.row()] if open_ else []
+                open_ = Digest(r["doc_id"], r["n_bytes"], r["media_bytes"], r["media_sha256"])
+            open_.add(r["width"], r["height"], r["compression"], r["samples"])
+        yield _digest_batch(found)
+    if open_:
+        yield _digest_batch([open_.row()])
 
-def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each whole text stored as a deflated TIFF file and read back. Null texts are empty, ids are carried as they are, repeated rows stay."""
 
-    @F.pandas_udf(", ".join(DIGEST))
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _digest_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(DIGEST)
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, DIGEST, strict=True)], schema=DIGEST)
+
+
+def files(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media_bytes, media_sha256, media of each row of docs (doc_id, text): the text's bytes, and the file that holds them."""
+
+    @F.pandas_udf("n_bytes long, media binary")
+    def store(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([digest(t) for t in texts], columns=[x.split()[0] for x in DIGEST])
+            made = [payload_of(t) for t in texts]
+            yield pd.DataFrame({"n_bytes": [n for _, n in made], "media": [stored(payload) for payload, _ in made]})
 
-    return table(spark, sf_dir, "documents").select("doc_id", apply("text").alias("d")).select("doc_id", "d.*")
+    found = docs.select("doc_id", store("text").alias("s")).select("doc_id", "s.*")
+    return found.select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+
+
+def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each whole text stored as a TIFF file, which is read back page by page. Null texts are empty, ids are carried as they are, repeated rows stay."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return pages(files(docs), "media").mapInArrow(_digests, DIGEST_SQL)
