@@ -2,19 +2,25 @@
 
 A passage is a window of a document's words; windows overlap by half and are so wide that one of them holds any run of words as
 long as the longest item. An item's BM25 weights are divided by their sum, so that a score is the share of the item's weight
-that the passage has, and one threshold suits all items. As the threshold is fixed, so are WAND's pivots: an item can reach it
-only with one of its heaviest terms, those without which the rest falls short. Postings of these terms lead to blocks of items;
-a block whose term maxima fall short is passed over; what is left is scored in full. All items above the threshold are then
+that the passage has, and one threshold suits all items. Each term has a list of postings, sorted by item, and the greatest share in
+each block of items. A search adds up these maxima for all blocks at once and passes over the blocks that fall short; in a live block
+it moves one cursor for each term of the passage: the pivot is the first item that the maxima of the cursors up to it let reach the
+threshold, the cursors before it jump to it, and it is scored in full where they meet. All items above the threshold are then
 verified: the shares of the five-word shingles of the item's question and of its answer that the document has.
+
+As the threshold is fixed, an item can reach it only with one of its heaviest terms, those without which the rest falls short.
+A passage without any item's such term is not searched.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -28,7 +34,7 @@ from .neardup import doc_key
 #: BM25's constants, the share of an item's weight that a passage must have, least overlap, words of a shingle.
 K1, B, THRESHOLD, OVERLAP, SHINGLE = 1.2, 0.75, 0.7, 0.75, 5
 #: Items of a block, least words of a stride, items that are searched in one pass over the documents.
-BLOCK_ITEMS, STRIDE, PASS_ITEMS = 16, 64, 20_000
+BLOCK_ITEMS, STRIDE, PASS_ITEMS = 8, 64, 20_000
 WORD = re.compile(r"\w+")
 LAST_SENTENCE = re.compile(r"(?<=[.!?\n])\s*(?=[^.!?\n]*\w[^.!?\n]*[.!?\s]*\Z)")
 
@@ -51,31 +57,85 @@ def shingles(found: list[str]) -> set[tuple[str, ...]]:
     return {tuple(found[i : i + n]) for i in range(len(found) - n + 1)} if n else set()
 
 
+@dataclass
+class Postings:
+    """Of one term: items in order; the blocks of BLOCK_ITEMS items that any of them is in, with the greatest share in each, and where its items begin in the list."""
+
+    items: list[int]
+    blocks: np.ndarray
+    most: np.ndarray
+    starts: list[int]
+
+
+def postings(items: list[int], shares: list[float]) -> Postings:
+    blocks, starts = np.unique(np.array(items) // BLOCK_ITEMS, return_index=True)
+    return Postings(items, blocks, np.maximum.reduceat(np.array(shares), starts), [*starts.tolist(), len(items)])
+
+
 @dataclass
 class Index:
     items: list[int] = field(default_factory=list)  # item ids
     weights: list[dict[int, float]] = field(default_factory=list)  # of each item, its share by term
     parts: list[tuple[set, set]] = field(default_factory=list)  # shingles of question and answer
     term: dict[str, int] = field(default_factory=dict)
-    pivots: dict[int, list[int]] = field(default_factory=dict)  # term -> items that it may lift over the threshold
-    blocks: list[dict[int, float]] = field(default_factory=list)  # of each block, the greatest share by term
+    heavy: set[int] = field(default_factory=set)  # terms without which some item stays below the threshold
+    lists: list[Postings] = field(default_factory=list)  # by term
+    offsets: np.ndarray | None = None  # of each term, where its blocks begin in `blocks` and their maxima in `most`
+    blocks: np.ndarray | None = None
+    most: np.ndarray | None = None
     stride: int = STRIDE
 
-    def search(self, terms: set[int], hit: set[int]) -> list[tuple[int, float]]:
-        """Items of `hit`, which have a pivot term among `terms`, with a score of THRESHOLD or more."""
-        out = []
-        by_block = defaultdict(list)
-        for i in hit:
-            by_block[i // BLOCK_ITEMS].append(i)
-        for k, members in by_block.items():
-            most = self.blocks[k]
-            if len(members) > 2 and sum(most[t] for t in terms if t in most) < THRESHOLD - 1e-9:
-                continue  # to score one or two items costs less than a bound
-            for i in sorted(members):
-                score = sum(w for t, w in self.weights[i].items() if t in terms)
-                if score >= THRESHOLD - 1e-9:
-                    out.append((i, score))
-        return out
+    def packed(self) -> None:
+        """Puts the blocks and maxima of all lists behind each other, where search finds those of many terms at once."""
+        self.offsets = np.cumsum([0, *(len(x.blocks) for x in self.lists)])
+        self.blocks = np.concatenate([x.blocks for x in self.lists]) if self.lists else np.empty(0, np.int64)
+        self.most = np.concatenate([x.most for x in self.lists]) if self.lists else np.empty(0)
+
+    def search(self, terms: np.ndarray, counts: Counter | None = None) -> list[tuple[int, float]]:
+        """Items with a score of THRESHOLD or more for distinct terms, in order, and their scores. counts: gets how many blocks were passed over and items scored."""
+        if not len(terms):
+            return []
+        sizes = self.offsets[terms + 1] - self.offsets[terms]
+        at = np.arange(sizes.sum()) + np.repeat(self.offsets[terms] - np.cumsum(sizes) + sizes, sizes)
+        bounds = np.bincount(self.blocks[at], self.most[at])
+        live = np.flatnonzero(bounds >= THRESHOLD - 1e-9).tolist()
+        if counts is not None:
+            counts["passed over"] += int((bounds > 0).sum()) - len(live)
+        if not live:
+            return []
+        lists, among = [self.lists[t] for t in terms.tolist()], set(terms.tolist())
+        return [found for block in live for found in self._within(block, among, lists, counts)]
+
+    def _within(self, block: int, terms: set[int], lists: list[Postings], counts: Counter | None) -> Iterator[tuple[int, float]]:
+        least, cursors = THRESHOLD - 1e-9, []
+        for n, x in enumerate(lists):
+            k = int(np.searchsorted(x.blocks, block))
+            if k < len(x.blocks) and x.blocks[k] == block:
+                cursors.append([x.items[x.starts[k]], n, x.starts[k], x.starts[k + 1], float(x.most[k]), x.items])  # the item that it is at, list, place, end, maximum
+        while cursors:
+            cursors.sort(key=itemgetter(0, 1))
+            bound, pivot = 0.0, -1
+            for c in cursors:
+                bound += c[4]
+                if bound >= least:
+                    pivot = c[0]
+                    break
+            if pivot < 0:
+                return
+            to = pivot
+            if cursors[0][0] == pivot:
+                score = sum(w for t, w in self.weights[pivot].items() if t in terms)
+                if score >= least:
+                    yield pivot, score
+                to = pivot + 1
+                if counts is not None:
+                    counts["scored"] += 1
+            for c in cursors:
+                if c[0] >= to:
+                    break
+                c[2] = bisect_left(c[5], to, c[2], c[3])
+                c[0] = c[5][c[2]] if c[2] < c[3] else -1
+            cursors = [c for c in cursors if c[0] >= 0]
 
 
 @dataclass
@@ -105,7 +165,7 @@ def build(items: list[tuple[int, str]], of_all: Statistics | None = None) -> Ind
     df, mean = of_all.df, of_all.mean
     index.term = {w: k for k, w in enumerate(sorted({w for *_, c in found for w in c}))}
     index.stride = max(STRIDE, of_all.longest)
-    pivots = defaultdict(list)
+    lists: list[tuple[list[int], list[float]]] = [([], []) for _ in index.term]
     for n, (i, text, c) in enumerate(found):
         norm = K1 * (1 - B + B * sum(c.values()) / mean)
         raw = {index.term[w]: math.log(1 + (of_all.count - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + norm) for w, f in c.items()}
@@ -119,21 +179,20 @@ def build(items: list[tuple[int, str]], of_all: Statistics | None = None) -> Ind
         for t, w in sorted(shares.items(), key=lambda x: (x[1], x[0])):
             rest += w
             if rest >= THRESHOLD - 1e-9:  # without this term and the heavier ones an item stays below
-                pivots[t].append(n)
-        if n % BLOCK_ITEMS == 0:
-            index.blocks.append({})
-        block = index.blocks[-1]
+                index.heavy.add(t)
         for t, w in shares.items():
-            block[t] = max(w, block.get(t, 0.0))
-    index.pivots = dict(pivots)
+            lists[t][0].append(n)
+            lists[t][1].append(w)
+    index.lists = [postings(*x) for x in lists]
+    index.packed()
     return index
 
 
 class Searcher:
     def __init__(self, index: Index):
         self.index = index
-        self.is_pivot = np.zeros(len(index.term) + 1, bool)  # the last is for words that no item has
-        self.is_pivot[list(index.pivots)] = True
+        self.is_heavy = np.zeros(len(index.term) + 1, bool)  # the last is for words that no item has
+        self.is_heavy[list(index.heavy)] = True
 
     def retrieve(self, found: list[str]) -> tuple[dict[int, float], int]:
         """Of a document's words: the best score by item of all (passage, item) above the threshold, and how many passages there are."""
@@ -142,25 +201,26 @@ class Searcher:
             return {}, 0
         ids = np.fromiter((get(w, none) for w in found), np.int64, len(found))
         n_passages = max(1, -(-len(found) // index.stride) - 1)
-        places = np.flatnonzero(self.is_pivot[ids])
-        hits: dict[int, set[int]] = defaultdict(set)
-        for place, t in zip((places // index.stride).tolist(), ids[places].tolist(), strict=True):
-            for k in (place - 1, place):
-                if 0 <= k < n_passages:
-                    hits[k].update(index.pivots[t])
+        halves = np.flatnonzero(np.bincount(np.flatnonzero(self.is_heavy[ids]) // index.stride)).tolist()
         best: dict[int, float] = {}
-        for k, hit in hits.items():
-            terms = set(ids[k * index.stride : (k + 2) * index.stride].tolist())
-            terms.discard(none)
-            for i, score in index.search(terms, hit):
+        for k in sorted({k for half in halves for k in (half - 1, half) if 0 <= k < n_passages}):
+            terms = np.unique(ids[k * index.stride : (k + 2) * index.stride])
+            for i, score in index.search(terms[:-1] if terms[-1] == none else terms):
                 best[i] = max(score, best.get(i, 0.0))
         return best, n_passages
 
-    def verify(self, found: list[str], i: int) -> tuple[float, float, bool]:
-        """Shares of the question's and the answer's shingles that the document has; whether both, or the two together, reach OVERLAP."""
+    def verify(self, found: list[str], i: int, at: dict[int, set] | None = None) -> tuple[float, float, bool]:
+        """Shares of the question's and the answer's shingles that the document has; whether both, or the two together, reach OVERLAP.
+
+        at: the document's runs of words by their number, filled here; to be handed on from item to item."""
         question, answer = self.index.parts[i]
-        at: dict[int, set] = {}
-        has = lambda part: sum(s in at.setdefault(len(s), {tuple(found[k : k + len(s)]) for k in range(len(found) - len(s) + 1)}) for s in part)
+        at = {} if at is None else at
+
+        def has(part: set) -> int:
+            for n in {len(s) for s in part} - at.keys():
+                at[n] = {tuple(found[k : k + n]) for k in range(len(found) - n + 1)}
+            return sum(s in at[len(s)] for s in part)
+
         q, a = has(question), has(answer)
         q_share, a_share = q / max(1, len(question)), a / len(answer) if answer else 1.0
         return q_share, a_share, min(q_share, a_share) >= OVERLAP or (q + a) / max(1, len(question) + len(answer)) >= OVERLAP
@@ -191,8 +251,8 @@ def _search(sent):
         searcher, names = Searcher(sent.value), [x.split()[0] for x in FOUND.split(", ")]
 
         def of(found: list[str]) -> list[dict]:
-            best, _ = searcher.retrieve(found)
-            return [dict(zip(names, (sent.value.items[i], score, *searcher.verify(found, i)), strict=True)) for i, score in sorted(best.items())]
+            (best, _), at = searcher.retrieve(found), {}
+            return [dict(zip(names, (sent.value.items[i], score, *searcher.verify(found, i, at)), strict=True)) for i, score in sorted(best.items())]
 
         for texts in batches:
             yield pd.Series([of(words(text)) for text in texts])
@@ -201,7 +261,9 @@ def _search(sent):
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, item_id, score, question_overlap, answer_overlap: a row for each document and each benchmark item that it holds; clean documents have none."""
+    """doc_id, item_id, score, question_overlap, answer_overlap: a row for each document and each benchmark item that it holds; clean documents have none.
+
+    Null and empty texts and items match nothing; a null doc_id is carried as it is; a repeated row of documents has its rows again, a repeated item has not."""
     found = matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode(F.filter("found", lambda x: x["verified"])).alias("m")).select("doc_id", "m.item_id", "m.score", "m.question_overlap", "m.answer_overlap")
 
