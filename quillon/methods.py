@@ -17,6 +17,7 @@ from quillon.operators import extraction as X
 from quillon.operators import gates as G
 from quillon.operators import packing as K
 from quillon.operators import retrieval as R
+from quillon.operators.graph import keep
 
 #: What is added to a yes/no question to look for evidence against it.
 AGAINST = " no effect OR not associated OR contradictory evidence"
@@ -33,13 +34,10 @@ class Method:
     gate: str | None = None  # which answers are asked for again: package, research, forced, never
     grounded: bool = False  # the gate asks for ground too
     rewrite: str | None = None  # which questions are rewritten: all, long, type
-    tools: bool = True
     again: str = "generate"  # what asks again: generate with all passages, or keep
     notes: bool = False  # one note a passage instead of its text
     best_passage: bool = False  # the answer of the best passage alone
-    graph: str | None = None  # evidence from the passages' entity graph: local, paths, communities
     budget: int = 3000
-    extra: dict = field(default_factory=dict)
 
 
 _cascade = Method(pools=("question", "hypothesis"), rerank=20, gate="research")
@@ -47,22 +45,19 @@ _dual = replace(_cascade, pools=("question", "hypothesis", "against"), wide=30)
 _dense = Method(pools=("question",))
 _v14 = Method(pools=("question", "against"), rerank=20, gate="forced")
 
-#: Every method by its id.
+#: The methods that these flags tell apart, by their ids; abl-RC-gt and v14-forced-agent are settings under a second name. README lists the methods that are not built.
 METHODS: dict[str, Method] = {
     "no-context": Method(), "no-context-frontier": Method(), "golden-context": Method(pools=("given",)),
     "dense": _dense, "dual-dense": replace(_dense, pools=("question", "against")), "hyde": replace(_dense, pools=("hypothesis",)), "hyde-mixed": replace(_dense, pools=("mixed",)),
-    "rankrag": replace(_dense, wide=100, rerank=10), "flare": replace(_dense, rounds=3), "chain-of-note": replace(_dense, notes=True),
-    "ircot": replace(_dense, rounds=3), "ircot-rerank": replace(_dense, rounds=3, rerank=10), "self-rag": replace(_dense, best_passage=False, gate="package"), "self-rag-13b": replace(_dense, best_passage=True),
-    "genegpt-lite": Method(gate="never"), "genegpt": Method(rounds=2), "genegpt-fmt": Method(rounds=2), "biomedrag": replace(_dense, wide=50, rerank=25),
-    "rt-lightrag": replace(_dense, graph="local"), "rt-pathrag": replace(_dense, graph="paths"), "rt-graphrag": replace(_dense, graph="communities"), "mesh-kg": replace(_dense, pools=("question",), rerank=20),
-    "biorag": replace(_dense, rounds=2), "biorag-full": replace(_dense, rounds=4),
+    "rankrag": replace(_dense, wide=100, rerank=10), "chain-of-note": replace(_dense, notes=True),
+    "ircot": replace(_dense, rounds=3), "ircot-rerank": replace(_dense, rounds=3, rerank=10), "self-rag-13b": replace(_dense, best_passage=True),
+    "biomedrag": replace(_dense, wide=50, rerank=25),
     "v14": _v14, "v14.1": replace(_v14, wide=30), "v14.2": replace(_v14, wide=40), "v14.3": replace(_v14, wide=50), "v14-dh": replace(_v14, pools=("question", "hypothesis")),
     "v14-cascade": _cascade, "v14-cascade-rewrite": replace(_cascade, rewrite="all"), "v14-cascade-selective-rewrite": replace(_cascade, rewrite="long"), "v14-cascade-type-rewrite": replace(_cascade, rewrite="type"),
     "v14-forced-agent-trw": replace(_cascade, rewrite="type", gate="forced"), "v14-cascade-dual-rerank": _dual, "v14-forced-agent-dual-rerank": replace(_dual, gate="forced"),
-    "v14-cascade-dual-rerank-grounded": replace(_dual, grounded=True), "v14-promptcheck-old": replace(_dual, grounded=True), "v14-promptcheck-new": replace(_dual, grounded=True),
-    "v14-cascade-dual-rerank-grounded-disco": replace(_dual, grounded=True), "v14-geneturing-genomics": replace(_dual, grounded=True),
+    "v14-cascade-dual-rerank-grounded": replace(_dual, grounded=True),
     "abl-C-gt": replace(_cascade, grounded=True), "abl-R-gt": replace(_dual, gate="never"), "abl-RC-gt": replace(_dual, grounded=True), "abl-A-gt": replace(_dual, gate="forced"),
-    "v14-cascade-grounded": replace(_cascade, grounded=True), "v14-cascade-dual-rerank-grounded-no-tools": replace(_dual, grounded=True, tools=False), "v14-no-tools": replace(_v14, tools=False),
+    "v14-cascade-grounded": replace(_cascade, grounded=True),
     "v14-cascade-dual-rerank-grounded-forcedfast": replace(_dual, grounded=True, gate="never"), "v14-forced-fast": replace(_v14, gate="never"), "v14-forced-agent": _v14, "v14-no-rejudge": replace(_v14, again="keep"),
     "pipeline": replace(_dual, gate="package", grounded=True),
 }
@@ -112,13 +107,16 @@ def run(items: DataFrame, passages: DataFrame, method: Method | str, s: Services
     passages: id, text. Items without a passage have an empty context. Null questions are empty."""
     method, s = METHODS[method] if isinstance(method, str) else method, s or Services()
     asked = questions(items.withColumn("question", F.coalesce("question", F.lit(""))), method)
-    held = passages.withColumn("vector", s.embed(F.col("text")))
+    held = keep(passages.withColumn("vector", s.embed(F.col("text")))) if method.pools and method.pools != ("given",) else None  # embedded once for all pools and rounds
+    pooled = None
     for n in range(method.rounds if method.pools and method.pools != ("given",) else 1):
         if method.pools == ("given",):
             context = asked.select("query_id", F.array_join(F.coalesce("context", F.array()), "\n\n").alias("found"))
         elif method.pools:
-            found = evidence(asked, held, method, s)
-            text = T.first_sentence(F.col("text")) if method.notes or method.graph else F.col("text")
+            new = evidence(asked, held, method, s).select("query_id", F.lit(n).alias("pool"), "id", "rank", "score", "text")
+            pooled = keep(new if pooled is None else pooled.unionByName(new)) if method.rounds > 1 else new  # a round adds to what the others found
+            found = new if pooled is new else R.hydrate(R.merge_best(pooled), held, ["text"])
+            text = T.first_sentence(F.col("text")) if method.notes else F.col("text")
             found = found.withColumn("text", text).withColumn("cost", T.token_estimate(F.col("text")))
             found = found.where("rank = 1") if method.best_passage else K.largest_prefix(found, method.budget)
             context = K.assembled(found).withColumnRenamed("context", "found")

@@ -206,8 +206,8 @@ def test_every_method_answers_every_item(spark):
 
     items = spark.createDataFrame([(1, "Is the ring red?", "yesno", ["given text. more."], 0.9), (2, "Who holds the ring", "factoid", None, 0.1), (3, None, "summary", [], None)], "query_id long, question string, question_type string, context array<string>, confidence double")
     passages = spark.createDataFrame([(1, "The ring is red. It is so."), (2, "Nobody holds it. No."), (3, None)], "id long, text string")
-    assert len(methods.METHODS) > 50
-    for name in ("no-context", "golden-context", "hyde-mixed", "ircot-rerank", "chain-of-note", "self-rag-13b", "rt-lightrag", "v14-cascade-type-rewrite", "v14-no-rejudge", "pipeline"):
+    assert len(methods.METHODS) > 30
+    for name in ("no-context", "golden-context", "hyde-mixed", "ircot-rerank", "chain-of-note", "self-rag-13b", "ircot", "v14-cascade-type-rewrite", "v14-no-rejudge", "pipeline"):
         got = {r["query_id"]: r for r in methods.run(items, passages, name).collect()}
         assert sorted(got) == [1, 2, 3] and got[1]["predicted"] == "yes"
     assert methods.sweep(items, passages, methods.METHODS["dense"], (1, 2), (1,)).count() == 6
