@@ -7,8 +7,9 @@ What is left apart from its hub is looked at more closely, once for each hub. A
 either has alone. Sets x, y are similar enough if they differ in at most (1 - t) / (1 + t) of the sum of their sizes; as they differ
 where just one of them differs from the hub, a node that is apart from its hub is similar to another node of the group only if
 both differ from the hub in common items, and then also in one of the rarest of these of each. In a group of at most FEW nodes
-those that are apart are held against the others, where the counts leave it possible. A larger group falls apart into one for each
-rare item that nodes of two components, one of them apart, both differ in. Where at most FEW_RARE nodes meet, pairs are verified that
+those that are apart are held against the others, where the counts leave it possible. Of a group of at most TASK nodes and TASK_ITEMS such items a task counts,
+by lists of the nodes that differ in an item, how many items each that is apart shares with the others, which tells exactly what is
+similar. A larger group falls apart into one for each rare item that nodes of two components, one of them apart, both differ in. Where at most FEW_RARE nodes meet, pairs are verified that
 can have enough in common behind that item; larger groups get a hub of their own, the next in one order of all nodes, and are treated
 alike. No pair that meets in a bucket is lost, and a group of n near copies, or of n sets that share one large part and nothing
 else, costs about n comparisons.
@@ -19,6 +20,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +29,9 @@ from .common import discard, keep, release
 
 #: Rows of two or three numbers up to which a side of a join is broadcast; beyond, it is shuffled.
 BROADCAST_ROWS = 1_000_000
-#: Nodes of a hub's group, and of a group by a rare item, up to which those that are apart are held against the others. The latter pairs are few: places tell most that can't be similar.
-FEW, FEW_RARE = 32, 512
+#: Nodes of a hub's group up to which those that are apart are held against the others; nodes, and items in which they differ from the hub, up to which one task counts what they
+#: share; nodes of a group by a rare item up to which pairs are verified. The latter are few: places tell most that can't be similar.
+FEW, TASK, TASK_ITEMS, FEW_RARE = 32, 8192, 2_000_000, 512
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -140,14 +144,18 @@ def linked(found: DataFrame, sets_of: Callable[[DataFrame, int], DataFrame], per
         stars = keep(_stars(found, weights), f"{name}-stars")
         tested = keep(verified(stars.select(F.col("hub").alias("left"), F.col("node").alias("right")).distinct(), sets, percent, form), f"{name}-tested")
         links, labels = _unite(tested, links, labels, name)
-        groups, n_rows, n_large = _open_groups(stars, tested, labels, name)
+        groups, n_rows, n_large, n_huge = _open_groups(stars, tested, labels, name)
         discard(found, stars, tested)
         release(sets.sparkSession)
         if not n_rows:
             break
-        pairs, n_open = _possible(groups.where(F.col("n") <= FEW), percent), 0
+        pairs, n_open = _possible(groups.where("tier = 0"), percent), 0
         if n_large:
-            rare = _smaller(groups.where(F.col("n") > FEW), sets, percent, name, form)
+            counted_ = keep(_counted(groups.where("tier = 1"), sets, percent, form), f"{name}-tested")
+            links, labels = _unite(counted_, links, labels, name)
+            discard(counted_)
+        if n_huge:
+            rare = _smaller(groups.where("tier = 2"), sets, percent, name, form)
             pairs = pairs.union(_possible(rare.where(F.col("n") <= FEW_RARE), percent)).distinct()
             found, n_open = counted(rare.where(F.col("n") > FEW_RARE).select("bucket", "node", "n"), f"{name}-found")
         pairs, n_pairs = counted(pairs, f"{name}-pairs")
@@ -155,7 +163,7 @@ def linked(found: DataFrame, sets_of: Callable[[DataFrame, int], DataFrame], per
             tested = keep(verified(pairs, sets, percent, form), f"{name}-tested")
             links, labels = _unite(tested, links, labels, name)
             discard(tested)
-        discard(groups, pairs, *([rare] if n_large else []))
+        discard(groups, pairs, *([rare] if n_huge else []))
         release(sets.sparkSession)
         if not n_open:
             break
@@ -193,20 +201,21 @@ def _unite(tested: DataFrame, links: DataFrame | None, labels: DataFrame | None,
     return links, labels
 
 
-def _open_groups(stars: DataFrame, tested: DataFrame, labels: DataFrame, name: str) -> tuple[DataFrame, int, int]:
-    """stars with component, apart (from the hub's), both, size, hub_size, beside (false), behind (how many items differ) and n (the group's nodes without the hub), of groups where, beside the hub, there are two
-    components or more, one of them apart; how many rows these are, and how many of them in groups of more than FEW."""
+def _open_groups(stars: DataFrame, tested: DataFrame, labels: DataFrame, name: str) -> tuple[DataFrame, int, int, int]:
+    """stars with component, apart (from the hub's), both, size, hub_size, beside (false), behind (how many items differ), n (the group's nodes without the hub) and tier,
+    of groups where, the hub left aside, there are two components or more, one of them apart; how many rows these are, and how many of them of tier 1 and 2. Tier 0 are
+    groups of at most FEW, tier 1 those that a task can hold."""
     known = _labelled(stars, labels, {"node": "component", "hub": "_hub"}).withColumn("apart", F.col("component") != F.col("_hub")).drop("_hub")
-    known = keep(known, f"{name}-known")
-    open_, n = counted(known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("apart"), F.min("component").alias("low"), F.max("component").alias("high")).where("apart and low <> high").select("bucket", "n"), f"{name}-open")
-    if not n:
-        return known, 0, 0
     sizes = tested.select(F.col("left").alias("hub"), F.col("right").alias("node"), "both", F.col("n_left").alias("hub_size"), F.col("n_right").alias("size"))
-    groups = known.join(bounded(open_, n), "bucket").join(sizes, ["hub", "node"]).withColumn("beside", F.lit(False)).withColumn("behind", F.col("size") + F.col("hub_size") - 2 * F.col("both"))
-    groups = keep(groups, f"{name}-groups")
-    rows, large = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("n") > FEW).cast("long")), F.lit(0))).first()
+    known = keep(known.join(sizes, ["hub", "node"]).withColumn("behind", F.col("size") + F.col("hub_size") - 2 * F.col("both")), f"{name}-known")
+    n, items = F.count(F.lit(1)), F.sum("behind")
+    tier = F.when(n <= FEW, 0).when((n <= TASK) & (items <= TASK_ITEMS), 1).otherwise(2)
+    groups = known.groupBy("bucket").agg(n.alias("n"), tier.alias("tier"), F.max("apart").alias("apart"), F.min("component").alias("low"), F.max("component").alias("high"))
+    open_, count = counted(groups.where("apart and low <> high").select("bucket", "n", "tier"), f"{name}-open")
+    found = keep(known.join(bounded(open_, count), "bucket").withColumn("beside", F.lit(False)), f"{name}-groups")
+    rows, large, huge = found.agg(n, F.count_if(F.col("tier") == 1), F.count_if(F.col("tier") == 2)).first()
     discard(known, open_)
-    return groups, rows, large
+    return found, rows, large, huge
 
 
 def _excess(percent: int, of: str = "") -> Column:
@@ -228,6 +237,49 @@ def _possible(groups: DataFrame, percent: int) -> DataFrame:
     return x.join(y, possible).select(F.least("x.node", "y.node").alias("left"), F.greatest("x.node", "y.node").alias("right")).distinct()
 
 
+def _differing(groups: DataFrame, sets: DataFrame, form: Form) -> DataFrame:
+    """groups with the items in which a node differs from its hub."""
+    hub_sets = sets.select(F.col("node").alias("hub"), F.col("items").alias("hub_items"))
+    return groups.join(sets, "node").join(hub_sets, "hub").withColumn("items", form.differ(F.col("hub_items"), F.col("items"))).drop("hub_items")
+
+
+def _counted(groups: DataFrame, sets: DataFrame, percent: int, form: Form) -> DataFrame:
+    """left, right, linked (true): of similar pairs of groups of tier 1, one of them apart, enough to join all components that such pairs join: fewer than nodes."""
+    rows = _differing(groups, sets, form).select("bucket", "node", "component", "apart", _excess(percent).alias("excess"), "items")
+    return rows.groupBy("bucket").applyInArrow(_similar_in(percent), "left long, right long, linked boolean")
+
+
+def _similar_in(percent: int):
+    def of(group: pa.Table) -> pa.Table:
+        nodes, parts, apart, excess = (group[c].to_numpy().copy() for c in ("node", "component", "apart", "excess"))
+        lists = group["items"].combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        _, item = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        item, owner = item.astype(np.int32), np.repeat(np.arange(len(nodes), dtype=np.int32), sizes)
+        wanted = (np.bincount(item) > 1)[item]  # an item of one node alone is shared with none
+        item, owner = item[wanted], owner[wanted]
+        of_node = np.cumsum([0, *np.bincount(owner, minlength=len(nodes))])
+        order = np.argsort(item, kind="stable")
+        by_item = owner[order]
+        begins = np.searchsorted(item[order], np.arange(item.max() + 2 if len(item) else 1))
+        left, right = [], []
+        for x in np.flatnonzero(apart):
+            mine = item[of_node[x] : of_node[x + 1]]
+            if not len(mine):
+                continue
+            counts = begins[mine + 1] - begins[mine]
+            at = np.arange(counts.sum()) + np.repeat(begins[mine] - np.cumsum(counts) + counts, counts)
+            shared = np.bincount(by_item[at], minlength=len(nodes))
+            found = np.flatnonzero((shared > 0) & (parts != parts[x]) & (2 * (100 + percent) * shared >= excess + excess[x]))
+            others, first = np.unique(parts[found], return_index=True)
+            left += [nodes[x]] * len(others)
+            right += nodes[found[first]].tolist()
+            parts[np.isin(parts, others)] = parts[x]
+        return pa.table({"left": pa.array(left, pa.int64()), "right": pa.array(right, pa.int64()), "linked": pa.array([True] * len(left), pa.bool_())})
+
+    return of
+
+
 def _smaller(groups: DataFrame, sets: DataFrame, percent: int, name: str, form: Form) -> DataFrame:
     """groups, each as smaller ones, for each item in which its nodes differ from the hub, of the nodes that have it among the rarest such items: one of nodes that are
     apart, for pairs of these, and one, called beside, for pairs of a node that is apart and one that isn't. n is the number of partners of a node, the fewer;
@@ -238,9 +290,7 @@ def _smaller(groups: DataFrame, sets: DataFrame, percent: int, name: str, form:
     have one that they share among the first d - r + 1. Items that can't join two components come first in that order: only how many they are is needed."""
     excess = _excess(percent)
     least = groups.groupBy("bucket").agg(F.min(F.when(F.col("apart"), excess)).alias("of_apart"), F.min(F.when(~F.col("apart"), excess)).alias("of_near"))
-    hub_sets = sets.select(F.col("node").alias("hub"), F.col("items").alias("hub_items"))
-    held = groups.drop("n", "beside", "behind").join(sets, "node").join(hub_sets, "hub").withColumn("items", form.differ(F.col("hub_items"), F.col("items"))).drop("hub_items")
-    held = keep(held.join(least, "bucket"), f"{name}-held")
+    held = keep(_differing(groups.drop("n", "tier", "beside", "behind"), sets, form).join(least, "bucket"), f"{name}-held")
     kinds = F.when(F.col("apart") & F.col("of_near").isNotNull(), F.array(F.lit(False), F.lit(True))).otherwise(F.array(~F.col("apart")))
     kinds = held.withColumn("beside", F.explode(kinds)).withColumn("row", F.xxhash64("bucket", "beside", "node"))
     each = kinds.select("row", "component", "apart", "beside", "bucket", F.explode("items").alias("item")).withColumn("key", F.xxhash64("bucket", "beside", "item")).drop("bucket", "item")
