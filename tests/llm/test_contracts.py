@@ -94,7 +94,9 @@ def test_a_null_id_and_a_null_text_are_told_apart(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["5", "6"]
 
 
-def test_groups_that_fall_apart_again_and_again(spark, monkeypatch):
+@pytest.mark.parametrize("task", [2, 8192])
+def test_groups_that_fall_apart_again_and_again(spark, monkeypatch, task):
+    monkeypatch.setattr(links, "TASK", task)
     monkeypatch.setattr(links, "FEW", 2)
     monkeypatch.setattr(links, "FEW_RARE", 2)
     texts = near_texts(5, 80)
