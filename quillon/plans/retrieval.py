@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions import scores as S
 from quillon.functions import vectors as V
 from quillon.operators import packing as K
 from quillon.operators import retrieval as R
@@ -241,7 +242,7 @@ POOLS = f"""
 
 def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = top(spark, sf_dir, 30, "id % 2 = 0"), top(spark, sf_dir, 30, "id % 3 = 0")
-    return a.select("query_id", F.lit(0).alias("pool"), "id", "score", "rank").unionByName(b.select("query_id", F.lit(1).alias("pool"), "id", F.round(F.col("score") * 0.9, 6).alias("score"), "rank"))
+    return a.select("query_id", F.lit(0).alias("pool"), "id", "score", "rank").unionByName(b.select("query_id", F.lit(1).alias("pool"), "id", S.rounded(F.col("score") * 0.9, 6).alias("score"), "rank"))
 
 
 @query("pool_merge_max", f"WITH p AS ({POOLS}), b AS (SELECT query_id, id, max(score) AS score FROM p GROUP BY query_id, id) SELECT query_id, id, {RANKED} AS rank, score FROM b QUALIFY {RANKED} <= 20")
