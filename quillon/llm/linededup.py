@@ -263,7 +263,8 @@ def deduped(docs: DataFrame) -> tuple[DataFrame, str]:
     each = dropped.select(F.col("doc_key").alias(key), F.col("lines").alias(gone))
     docs_, lines_ = dropped.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()
     joined = docs.withColumn(key, doc_key()).join(bounded(each, docs_ + lines_ // 4), key, "left")
-    cut = F.pandas_udf(_cut, "string")(F.when(F.col(gone).isNotNull(), F.col("text")), F.col(gone))
+    once = F.pandas_udf(_cut, "string").asNondeterministic()  # else a filter on text cuts again, in a second Python worker of each task
+    cut = once(F.when(F.col(gone).isNotNull(), F.col("text")), F.col(gone))
     out = joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
