@@ -12,14 +12,14 @@ import math
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import table
 
@@ -33,6 +33,8 @@ CLEAR, END, FIRST = 256, 257, 258
 #: Of the files that op8 writes: samples in a row, rows of a page and of a strip at most, side of a tile, compressions.
 PAYLOAD_WIDTH, PAGE_ROWS, STRIP_ROWS, TILE_SIDE = 64, 1024, 128, 64
 COMPRESSIONS = (RAW, PACKBITS, LZW, DEFLATE)
+#: Bytes of payload or samples of a batch, about; a file's pages are never parted.
+BATCH_BYTES = 4_000_000
 
 
 class BadTiff(ValueError):
@@ -282,30 +284,52 @@ def _page(data: bytes, fields: dict[int, list[int]], order: str) -> Page:
     return Page(width, height, channels * planes, bits, compression, predictor, samples)
 
 
+PAGE = pa.schema([*((name, pa.int32()) for name in "page width height channels bits compression".split()), ("samples", pa.binary()), ("error", pa.string())])
 PAGE_SCHEMA = "page int, width int, height int, channels int, bits int, compression int, samples binary, error string"
 
 
+def page_batches(media: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What pages() does in a task: batches with files in column `media` -> batches of a row a page, of BATCH_BYTES of samples or little more."""
+
+    def rows_of(data: bytes | None) -> list[tuple]:
+        if not data:
+            return []
+        try:
+            return [(i, p.width, p.height, p.channels, p.bits, p.compression, p.samples.astype(p.samples.dtype.newbyteorder("<")).tobytes(), None) for i, p in enumerate(read_tiff(data))]
+        except BadTiff as e:
+            return [(None,) * 7 + (str(e),)]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            others = batch.select([c for c in batch.schema.names if c not in (*PAGE.names, media)])
+
+            def made(at: list[int], rows: list[tuple], others: pa.RecordBatch = others) -> pa.RecordBatch:
+                kept = others.take(pa.array(at, pa.int32()))
+                found = [pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), PAGE, strict=True)]
+                return pa.RecordBatch.from_arrays([*kept.columns, *found], schema=pa.schema([*kept.schema, *PAGE]))
+
+            at, rows, size = [], [], 0
+            for k, data in enumerate(batch.column(media)):
+                found = rows_of(data.as_py())
+                at += [k] * len(found)
+                rows += found
+                size += sum(len(r[6] or b"") for r in found)
+                if size >= BATCH_BYTES:
+                    yield made(at, rows)
+                    at, rows, size = [], [], 0
+            if rows:
+                yield made(at, rows)
+
+    return of
+
+
 def pages(df: DataFrame, media: str) -> DataFrame:
     """One row for each page of the files in column `media`, beside the other columns of df.
 
     A null or empty file has no rows; a file that can't be read has one, with its error and no samples. Samples are row by row, channels last,
     16-bit ones little-endian. A column of df that has a name of PAGE_SCHEMA is replaced."""
-    made = [x.split()[0] for x in PAGE_SCHEMA.split(", ")]
-
-    @F.pandas_udf(f"array<struct<{PAGE_SCHEMA.replace(' ', ':').replace(',:', ',')}>>")
-    def read(files: pd.Series) -> pd.Series:
-        def rows(data):
-            if not data:
-                return []
-            try:
-                return [(i, p.width, p.height, p.channels, p.bits, p.compression, p.samples.astype(p.samples.dtype.newbyteorder("<")).tobytes(), None) for i, p in enumerate(read_tiff(data))]
-            except BadTiff as e:
-                return [(None,) * 7 + (str(e),)]
-
-        return pd.Series([[dict(zip(made, r, strict=True)) for r in rows(x)] for x in files])
-
-    others = [df[c] for c in df.columns if c not in (*made, media)]
-    return df.select(*others, F.explode(read(df[media])).alias("_page")).select(*[c for c in df.columns if c not in (*made, media)], "_page.*")
+    others = [f for f in df.schema if f.name not in (*PAGE.names, media)]
+    return df.mapInArrow(page_batches(media), StructType([*others, *StructType.fromDDL(PAGE_SCHEMA)]))
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -327,6 +351,8 @@ def stored(payload: bytes) -> bytes:
     return write_tiff([image[y : y + PAGE_ROWS] for y in range(0, len(image), PAGE_ROWS)], compression, predictor, tile=tile)
 
 
+FILE = pa.schema([("n_bytes", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("media", pa.binary())])
+FILE_SQL = "n_bytes long, media_bytes long, media_sha256 string, media binary"
 DIGEST = pa.schema([(name, kind) for kinds, kind in (("doc_id n_bytes payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32 media_bytes", pa.int64()), ("media_sha256 feature", pa.string())) for name in kinds.split()])
 DIGEST_SQL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
@@ -375,20 +401,33 @@ def _digest_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, DIGEST, strict=True)], schema=DIGEST)
 
 
+def file_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What files() does in a task: doc_id, text -> doc_id, n_bytes, media_bytes, media_sha256, media, in batches of BATCH_BYTES of payload or little more."""
+    for batch in batches:
+        ids = batch.column("doc_id")
+        begin, rows, size = 0, [], 0
+        for k, text in enumerate(batch.column("text")):
+            payload, n = payload_of(text.as_py())
+            media = stored(payload)
+            rows.append((n, len(media), hashlib.sha256(media).hexdigest(), media))
+            size += len(payload)
+            if size >= BATCH_BYTES or k + 1 == len(batch):
+                columns = [pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), FILE, strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.slice(begin, len(rows)), *columns], schema=pa.schema([batch.schema.field("doc_id"), *FILE]))
+                begin, rows, size = k + 1, [], 0
+
+
 def files(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media_bytes, media_sha256, media of each row of docs (doc_id, text): the text's bytes, and the file that holds them."""
+    return docs.select("doc_id", "text").mapInArrow(file_batches, StructType([docs.schema["doc_id"], *StructType.fromDDL(FILE_SQL)]))
 
-    @F.pandas_udf("n_bytes long, media binary")
-    def store(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            made = [payload_of(t) for t in texts]
-            yield pd.DataFrame({"n_bytes": [n for _, n in made], "media": [stored(payload) for payload, _ in made]})
 
-    found = docs.select("doc_id", store("text").alias("s")).select("doc_id", "s.*")
-    return found.select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """files(), pages() and what op8 returns of them, one after the other in one Python worker of a task: no file and no page goes through the JVM."""
+    return _digests(page_batches("media")(file_batches(batches)))
 
 
 def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each whole text stored as a TIFF file, which is read back page by page. Null texts are empty, ids are carried as they are, repeated rows stay."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return pages(files(docs), "media").mapInArrow(_digests, DIGEST_SQL)
+    return docs.mapInArrow(digest_batches, DIGEST_SQL)
