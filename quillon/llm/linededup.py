@@ -19,12 +19,12 @@ from .neardup import doc_key
 #: Characters of a shingle, least similarity in hundredths, bands, hashes of a band. Lines of similarity s meet in a band with probability
 #: 1 - (1 - s ** ROWS) ** BANDS: 0.9995 at 0.75, 0.99997 at 0.8, and 2e-7 at the 0.01 that unlike lines have.
 CHARS, PERCENT, BANDS, ROWS = 7, 75, 20, 4
-#: Characters that numpy works on at a time, about: what the processor's cache holds.
-CHUNK = 100_000
+#: Characters that numpy works on at a time, about: enough for a function's calls to cost little beside their work.
+CHUNK = 400_000
 #: Distinct lines, and characters of them, that a task gathers before it sends their keys on; keys that meet in one part of the search for equal keys, about; parts at least.
 GATHER_LINES, GATHER_CHARS, PART_KEYS, PARTS = 25_000, 4_000_000, 2_000_000, 64
-#: Pairs that are compared at a time.
-PAIRS = 500
+#: Pairs that are compared at a time, and characters of them, about; bits for the place of a line among those of these pairs, two a pair.
+PAIRS, PAIR_CHARS, PLACE_BITS = 500, 1_000_000, 10
 LINES = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.int64()), ("line", pa.int32()), ("node", pa.int64())])
 LINES_SQL = "doc_id long, doc_key long, line int, node long"
 PACKED = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("many", pa.binary())])
@@ -83,18 +83,22 @@ def line_keys(lines: list[str]) -> np.ndarray:
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each line that isn't blank."""
     for batch in batches:
-        ids, keys, texts = (batch.column(k).to_pylist() for k in ("doc_id", "doc_key", "text"))
         nodes: dict[str, int] = {}
-        found = []
-        for doc, key, text in zip(ids, keys, texts, strict=True):
+        owner, lines, found = [], [], []
+        for k, text in enumerate(batch.column("text").to_pylist()):
+            before = len(lines)
             for line, content in enumerate(text.split("\n") if text else ()):
                 content = normal(content)
                 if content:
-                    if content not in nodes:
-                        nodes[content] = node_of(content)
-                    found.append((doc, key, line, nodes[content]))
-        columns = zip(*found, strict=True) if found else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, LINES, strict=True)], schema=LINES)
+                    node = nodes.get(content)
+                    if node is None:
+                        node = nodes[content] = node_of(content)
+                    lines.append(line)
+                    found.append(node)
+            owner.append(len(lines) - before)
+        owner = pa.array(np.repeat(np.arange(len(owner)), owner))
+        columns = batch.column("doc_id").take(owner), batch.column("doc_key").take(owner), pa.array(lines, pa.int32()), pa.array(found, pa.int64())
+        yield pa.RecordBatch.from_arrays(list(columns), schema=LINES)
 
 
 def packer(parts: int):
@@ -126,14 +130,14 @@ def _packed(lines: list[str], parts: int) -> pa.RecordBatch:
     nodes = np.array([node_of(x) for x in lines], np.int64)
     keys = line_keys(lines).T.ravel()
     nodes = np.tile(nodes, BANDS)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, nodes = keys[order], nodes[order]
     first = np.append(True, keys[1:] != keys[:-1])
     many = np.diff(np.append(np.flatnonzero(first), len(keys))) > 1
     rows = []
     for keys_, nodes_, many_, beyond in ((keys[first], nodes[first], many, 0), (keys[~first], nodes[~first], np.ones(int((~first).sum()), bool), parts)):
         part = (keys_.view(np.uint64) % np.uint64(parts)).astype(np.int64) if not beyond else (np.arange(len(keys_)) // 65_536 + int(keys[0] % parts)) % parts
-        order = np.argsort(part, kind="stable")
+        order = np.argsort(part.astype(np.min_scalar_type(parts)), kind="stable")  # of up to 16 bits, by radix
         at = np.append(np.flatnonzero(np.append(True, np.diff(part[order]) != 0)), len(part)) if len(part) else [0]
         for a, b in zip(at[:-1], at[1:], strict=True):
             some = order[a:b]
@@ -147,6 +151,12 @@ def shared(parts: int):
     def of(table_: pa.Table) -> pa.Table:
         keys, nodes, many = (np.frombuffer(b"".join(table_[c].to_pylist()), kind) for c, kind in (("keys", np.int64), ("nodes", np.int64), ("many", bool)))
         if table_["part"][0].as_py() < parts:
+            order = np.argsort(keys)
+            keys, nodes, many = keys[order], nodes[order], many[order]
+            alike = keys[1:] == keys[:-1]
+            some = many | np.append(alike, False) | np.append(False, alike)  # a key that comes once, and that one has, is left out before all else
+            keys, nodes, many = keys[some], nodes[some], many[some]
+        if len(keys) and table_["part"][0].as_py() < parts:
             order = np.lexsort((nodes, keys))
             keys, nodes, many = keys[order], nodes[order], many[order]
             fresh_key = np.append(True, keys[1:] != keys[:-1])
@@ -191,22 +201,63 @@ def _set(line: str) -> np.ndarray:
     return np.unique(shingle_hashes([line], 64)[0])
 
 
-def _pairs_of_sets(left: pd.Series, right: pd.Series) -> Iterator[tuple[frozenset, frozenset]]:
-    """The sets of each pair, PAIRS pairs at a time: the lines of these are hashed together."""
-    for at in range(0, len(left), PAIRS):
-        l, r = left.iloc[at : at + PAIRS].tolist(), right.iloc[at : at + PAIRS].tolist()
-        lines = list(dict.fromkeys([*l, *r]))
-        hashes, starts = shingle_hashes(lines, 64)
-        sets = {x: frozenset(h.tolist()) for x, h in zip(lines, np.split(hashes, starts[1:]), strict=True)}
-        yield from ((sets[x], sets[y]) for x, y in zip(l, r, strict=True))
+def _pairs_at_a_time(left: pd.Series, right: pd.Series) -> Iterator[tuple[list[str], list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """Of PAIRS pairs at most, of PAIR_CHARS characters or little more: their different lines, the place among these of each left and right line, the hashes of all shingles, where each line's begin."""
+    left, right = left.tolist(), right.tolist()
+    at = 0
+    while at < len(left):
+        number: dict[str, int] = {}
+        end, size = at, 0
+        while end < len(left) and end - at < PAIRS and (end == at or size < PAIR_CHARS):
+            for x in (left[end], right[end]):
+                if x not in number:
+                    number[x] = len(number)
+                size += len(x)
+            end += 1
+        lines = list(number)
+        yield lines, np.array([number[x] for x in left[at:end]]), np.array([number[x] for x in right[at:end]]), *shingle_hashes(lines, 64)
+        at = end
+
+
+def _sorted(each: np.ndarray, beside: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+    if beside is None:
+        return np.sort(each), None
+    order = np.argsort(each)
+    return each[order], beside[order]
+
+
+def _met(left: pd.Series, right: pd.Series, hashed: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Of some pairs at a time: how many shingles the left and right lines have; of the shingles of both lines of each pair, pair by pair and in order, the pair's place,
+    whether the next one is the same, and the hash, if hashed.
+
+    Place and hash are sorted as one number, the hash without its last PLACE_BITS bits: two lines of 1000 shingles have two of these alike by chance once in 10^10 pairs."""
+    place, rest = np.uint64(64 - PLACE_BITS), np.uint64((1 << (64 - PLACE_BITS)) - 1)
+    for lines, l, r, hashes, starts in _pairs_at_a_time(left, right):
+        owner = np.repeat(np.arange(len(lines), dtype=np.uint64) << place, np.diff(np.append(starts, len(hashes))))
+        each = owner | hashes >> np.uint64(PLACE_BITS)
+        each, hashes = _sorted(each, hashes if hashed else None)
+        once = np.append(True, each[1:] != each[:-1])
+        each, hashes = each[once], hashes[once] if hashed else None
+        n = np.bincount((each >> place).astype(np.int64), minlength=len(lines))
+        taken, begins = np.append(n[l], n[r]), (np.cumsum(n) - n)[np.append(l, r)]
+        at = np.arange(taken.sum()) + np.repeat(begins - np.cumsum(taken) + taken, taken)
+        pairs = np.arange(len(l), dtype=np.uint64) << place
+        each = np.repeat(np.append(pairs, pairs), taken) | each[at] & rest
+        each, hashes = _sorted(each, hashes[at] if hashed else None)
+        yield n[l], n[r], (each >> place).astype(np.int64), np.append(each[1:] == each[:-1], False), hashes
 
 
 def _compare(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([(len(x & y), len(x), len(y)) for x, y in _pairs_of_sets(left, right)], columns=["both", "n_left", "n_right"], dtype="int64")
+    found = [np.column_stack([np.bincount(pair[same], minlength=len(n)), n, m]) for n, m, pair, same, _ in _met(left, right, False)]
+    return pd.DataFrame(np.concatenate(found) if found else np.empty((0, 3)), columns=["both", "n_left", "n_right"], dtype="int64")
 
 
 def _differ(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([np.array(sorted(x ^ y), np.uint64).view(np.int64) for x, y in _pairs_of_sets(left, right)], dtype="object")
+    found = []
+    for n, _, pair, same, hashes in _met(left, right, True):
+        alone = ~(same | np.append(False, same[:-1]))
+        found += np.split(hashes[alone].view(np.int64), np.cumsum(np.bincount(pair[alone], minlength=len(n)))[:-1])
+    return pd.Series(found, dtype="object")
 
 
 #: Sets of shingles as the lines that they are of: an eighth of the bytes to shuffle.
