@@ -19,12 +19,12 @@ from .neardup import doc_key
 #: Characters of a shingle, least similarity in hundredths, bands, hashes of a band. Lines of similarity s meet in a band with probability
 #: 1 - (1 - s ** ROWS) ** BANDS: 0.9995 at 0.75, 0.99997 at 0.8, and 2e-7 at the 0.01 that unlike lines have.
 CHARS, PERCENT, BANDS, ROWS = 7, 75, 20, 4
-#: Characters that numpy works on at a time, about: enough for a function's calls to cost little beside their work.
-CHUNK = 400_000
+#: Characters that numpy works on at a time, about: enough for a function's calls to cost little beside their work, and few enough to stay in a core's cache.
+CHUNK = 100_000
 #: Distinct lines, and characters of them, that a task gathers before it sends their keys on; keys that meet in one part of the search for equal keys, about; parts at least.
 GATHER_LINES, GATHER_CHARS, PART_KEYS, PARTS = 25_000, 4_000_000, 2_000_000, 64
-#: Pairs that are compared at a time, and characters of them, about; bits for the place of a line among those of these pairs, two a pair.
-PAIRS, PAIR_CHARS, PLACE_BITS = 500, 1_000_000, 10
+#: Pairs that are compared at a time, few enough to stay in a core's cache, and characters of them, about; bits for the place of a line among those of these pairs, two a pair.
+PAIRS, PAIR_CHARS, PLACE_BITS = 100, 1_000_000, 10
 LINES = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.int64()), ("line", pa.int32()), ("node", pa.int64())])
 LINES_SQL = "doc_id long, doc_key long, line int, node long"
 PACKED = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("many", pa.binary())])
@@ -36,22 +36,37 @@ def normal(line: str) -> str:
     return line.strip().lower()
 
 
+def normals(text: str | None) -> list[str]:
+    """The normal lines of a text; its case is changed at once, which tells no line from another."""
+    return [line.strip() for line in text.lower().split("\n")] if text else []
+
+
 def node_of(line: str) -> int:
     """A signed 64-bit id of a normal line."""
     return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def _runs(code: np.ndarray, size: int, factor: int, bits: int) -> np.ndarray:
+    """The polynomials in factor of each run of `size` codes, made of those of runs half as long."""
+    if size == 1:
+        return code
+    half = _runs(code, size // 2, factor, bits)
+    h = half[: len(half) - size // 2] * code.dtype.type(pow(factor, size // 2, 1 << bits))
+    h += half[size // 2 :]
+    if size % 2:
+        h = h[:-1] * code.dtype.type(factor)
+        h += code[size - 1 :]
+    return h
+
+
 def shingle_hashes(lines: list[str], bits: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each run of CHARS characters within a line, line after line, and where each line begins. A shorter line is filled up to one run."""
     kind = np.uint32 if bits == 32 else np.uint64
     filled = [line.ljust(CHARS, "\0") for line in lines]
     code = np.frombuffer("".join(filled).encode("utf-32-le", "surrogatepass"), np.uint32).astype(kind)
     sizes = np.array([len(x) for x in filled])
-    count = len(code) - CHARS + 1
-    h = code[:count].copy()
-    for k in range(1, CHARS):
-        h *= kind(0x01000193 if bits == 32 else 0x100000001B3)
-        h += code[k : count + k]
+    h = _runs(code, CHARS, 0x01000193 if bits == 32 else 0x100000001B3, bits)
+    count = len(h)
     if bits == 32:
         h ^= h >> kind(16)
         h *= kind(0x7FEB352D)
@@ -67,17 +82,17 @@ def shingle_hashes(lines: list[str], bits: int = 32) -> tuple[np.ndarray, np.nda
 
 
 def line_keys(lines: list[str]) -> np.ndarray:
-    """The band keys of normal lines, a row a line."""
-    factors, offsets = minhash.functions(BANDS * ROWS, 6, 32)
-    out, at = np.empty((len(lines), BANDS), np.int64), 0
+    """The band keys of normal lines, a row a line: half of the bands are of least hashes, half of greatest ones."""
+    factors, offsets = minhash.functions(BANDS * ROWS // 2, 6, 32)
+    out, at = np.empty((BANDS, len(lines)), np.int64), 0
     while at < len(lines):
         end, size = at, 0
         while end < len(lines) and (end == at or size + len(lines[end]) <= CHUNK):
             size += len(lines[end])
             end += 1
-        out[at:end] = minhash.halves(minhash.minima(*shingle_hashes(lines[at:end]), factors, offsets), ROWS)
+        out[:, at:end] = minhash.halves(minhash.extremes(*shingle_hashes(lines[at:end]), factors, offsets), ROWS).T
         at = end
-    return out
+    return out.T
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,8 +102,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, lines, found = [], [], []
         for k, text in enumerate(batch.column("text").to_pylist()):
             before = len(lines)
-            for line, content in enumerate(text.split("\n") if text else ()):
-                content = normal(content)
+            for line, content in enumerate(normals(text)):
                 if content:
                     node = nodes.get(content)
                     if node is None:
@@ -112,8 +126,7 @@ def packer(parts: int):
         chars = 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                for line in text.split("\n") if text else ():
-                    line = normal(line)
+                for line in normals(text):
                     if line and line not in seen:
                         seen.add(line)
                         chars += len(line)

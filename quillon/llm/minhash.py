@@ -37,6 +37,22 @@ def minima(hashes: np.ndarray, starts: np.ndarray, factors: np.ndarray, offsets:
     return out
 
 
+def extremes(hashes: np.ndarray, starts: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each run of hashes that begins at starts (none empty), and each function, the least value, and after those of all functions the greatest ones: runs x 2 * functions.
+
+    Of two sets of similarity s, either is the same with probability s, and both with s * s at most: a shared item that is first leaves one less to be last.
+    So bands of least and bands of greatest values find a pair at least as often as bands of as many separate functions."""
+    count = len(factors)
+    out = np.empty((2 * count, len(starts)), hashes.dtype)
+    room = np.empty_like(hashes)
+    for k, (a, b) in enumerate(zip(factors, offsets, strict=True)):
+        np.multiply(hashes, a, out=room)
+        np.add(room, b, out=room)
+        np.minimum.reduceat(room, starts, out=out[k])
+        np.maximum.reduceat(room, starts, out=out[count + k])
+    return out.T
+
+
 def halves(minima_: np.ndarray, half: int) -> np.ndarray:
     """Joins each `half` neighbouring columns to one signed 64-bit key that also tells its place."""
     n, count = minima_.shape
